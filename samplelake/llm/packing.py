@@ -13,12 +13,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_or_empty, tokenizer_path
+from .common import ODD_SPACE, bounded_batches, text_or_empty, tokenizer_path
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-#: Characters where str.split() and the tokenizers' white space could differ.
-ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 PLAIN_SPACE = re.compile("[\t-\r ]+")
 
 
