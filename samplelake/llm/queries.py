@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import decontaminate, template_tree
 from .compression_quality import score_quality
 from .line_cleaning import clean_documents
 from .packing import pack_documents
@@ -25,6 +27,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@_query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = decontaminate.find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return leaks.withColumn("slot_share", F.round("slot_share", 6)).drop("row")
+
+
 @_query
 def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -45,6 +53,16 @@ def op6_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_documents(_documents(spark, sf_dir))
 
 
+@_query
+def op7_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = template_tree.drop_recurring_lines(_documents(spark, sf_dir))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.md5(F.coalesce("text", F.lit(""))).alias("clean_md5"))
+
+
 @_query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir))
+
+
+ORACLES["op1_decontamination"] = decontaminate.ORACLE
+ORACLES["op7_template_lines"] = template_tree.ORACLE
