@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import decontaminate, template_tree
 from .compression_quality import score_quality
 from .line_cleaning import clean_documents
+from .order_minhash import near_duplicates
 from .packing import pack_documents
 from .token_counts import count_tokens
 from .url_rules import judge_urls
@@ -43,6 +44,11 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+@_query
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir))
+
+
 @_query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_documents(spark, sf_dir))
