@@ -6,6 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +38,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session, for they need not have it."""
+    context = spark.sparkContext
+    if getattr(context, "_samplelake_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="samplelake-")
+    archive = os.path.join(folder, "samplelake.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for module in sorted(package.rglob("*.py")):
+            out.write(module, Path(package.name) / module.relative_to(package))
+    context.addPyFile(archive)
+    context._samplelake_shipped = True
+
+
 def bounded_batches(spark: SparkSession, megabytes: int = 16) -> None:
-    """Bounds the bytes (not only the rows) that one Arrow batch hands to Python."""
+    """Readies Python workers: sends them this package, and bounds the bytes (not only the
+    rows) that one Arrow batch hands to them."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(key, str(2**31 - 1))) > megabytes << 20:
         spark.conf.set(key, str(megabytes << 20))

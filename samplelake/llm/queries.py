@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, template_tree
+from .compact_windows import repeated_passages
 from .compression_quality import score_quality
 from .line_cleaning import clean_documents
 from .order_minhash import near_duplicates
@@ -65,6 +66,11 @@ def op7_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.md5(F.coalesce("text", F.lit(""))).alias("clean_md5"))
 
 
+@_query
+def op9_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_documents(spark, sf_dir))
+
+
 @_query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir))
