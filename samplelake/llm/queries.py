@@ -11,6 +11,7 @@ from . import decontaminate, template_tree
 from .compact_windows import repeated_passages
 from .compression_quality import score_quality
 from .line_cleaning import clean_documents
+from .log_bilinear import score_texts
 from .order_minhash import near_duplicates
 from .packing import pack_documents
 from .token_counts import count_tokens
@@ -66,6 +67,11 @@ def op7_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.md5(F.coalesce("text", F.lit(""))).alias("clean_md5"))
 
 
+@_query
+def op8_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_documents(spark, sf_dir))
+
+
 @_query
 def op9_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_documents(spark, sf_dir))
