@@ -35,10 +35,10 @@ SELECT user_id AS path, CAST(event_id % 2 AS INT) AS channel, row_number() OVER
     "vectors": "SELECT vec_id AS id, '/vec/' || vec_id AS path, embedding AS vec, label FROM embeddings",
     "state": """
 SELECT o_orderkey AS id, '/o/' || o_orderkey AS path, 1000 + o_orderkey AS mtime, o_orderpriority AS vendor, o_orderkey % 4 = 0 AS marked,
-  CAST(o_totalprice AS BIGINT) AS payload FROM orders WHERE o_orderkey % 10 <> 0""",
+  CAST(floor(o_totalprice) AS BIGINT) AS payload FROM orders WHERE o_orderkey % 10 <> 0""",
     "listing": """
 SELECT '/o/' || o_orderkey AS path, 1000 + o_orderkey + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS mtime, 'new ' || o_orderstatus AS vendor,
-  CAST(o_totalprice AS BIGINT) + 1 AS payload FROM orders WHERE o_orderkey % 7 <> 0""",
+  CAST(floor(o_totalprice) AS BIGINT) + 1 AS payload FROM orders WHERE o_orderkey % 7 <> 0""",
     "ref": """
 SELECT CASE WHEN c_custkey % 2 = 0 THEN upper('/lib/Brand#' || (c_custkey % 25)) ELSE '/lib/Brand#' || (c_custkey % 25) END AS file_path,
   CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END AS artist, CASE WHEN c_custkey % 5 = 0 THEN 'Lib ' || c_custkey ELSE '' END AS library,
