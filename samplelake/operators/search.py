@@ -87,7 +87,7 @@ class SearchQuery:
     def column(self) -> Column:
         parts = [self.pattern(n, p) for n, p in self.fields.items()]
         if bounds := parse_range(self.bpm):
-            parts.append(F.coalesce(F.col("bpm").between(*bounds), F.lit(False)))
+            parts.append(F.col("bpm").between(*bounds))  # a null never matches
         both = [tx.any_of(parts) if self.match_any else tx.all_of(parts)] if parts else []
         if self.free_text:
             both.append(tx.any_of([tx.contains(c, self.free_text) for c in (*FREE_TEXT, self.scope)]))

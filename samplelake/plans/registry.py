@@ -39,4 +39,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[Views], Data
 
 def load() -> None:
     """Fills the registry."""
-    from . import index_queries, search_queries, signal_queries, vector_queries  # noqa: F401
+    from . import index_queries, search_queries, session_queries, signal_queries, vector_queries  # noqa: F401
