@@ -18,19 +18,21 @@ UNITS = (
 ).split()
 
 
-def words(text: str | Column) -> Column:
-    """Runs of letters and digits."""
-    return F.split(F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), " ")
+def plain(text: str | Column) -> Column:
+    """Runs of letters and digits with one blank between."""
+    return F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "))
 
 
-def template(tokens: Column) -> Column:
-    """Numbers, units and capitalised words become typed placeholders."""
+def forms(text: Column) -> Column:
+    """The template of :func:`plain` text: tokens that begin with a digit are numbers, those
+    that begin with a capital and a small letter names; the others are lower-cased."""
+    named = F.regexp_replace(text, r"(?<![^ ])\p{Lu}\p{Ll}[^ ]*", NAME)
+    tokens = F.split(F.lower(F.regexp_replace(named, r"(?<![^ ])[0-9][^ ]*", NUMBER)), " ")
+    return F.transform(tokens, lambda t: F.when(t.isin(*UNITS), UNIT).otherwise(t))
 
-    def one(t: Column) -> Column:
-        first = F.substring(t, 1, 1)
-        return F.when(first.between("0", "9"), NUMBER).when(first != F.lower(first), NAME).when(t.isin(*UNITS), UNIT).otherwise(t)
 
-    return F.transform(tokens, one)
+def codes(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.xxhash64(t))
 
 
 def is_slot(t: Column) -> Column:
@@ -40,18 +42,18 @@ def is_slot(t: Column) -> Column:
 def benchmark_windows(benchmark: DataFrame, width: int, literals: int, item_id: str, text: str) -> DataFrame:
     """Windows of ``width`` template tokens (shorter items: one, of all) with at least
     ``literals`` words that are no slots, each anchored at its longest such word."""
-    items = benchmark.select(F.col(item_id).alias("item_id"), words(text_or_empty(text)).alias("raw"))
-    items = items.select("item_id", "raw", template(F.col("raw")).alias("form"))
+    items = benchmark.select(F.col(item_id).alias("item_id"), plain(text_or_empty(text)).alias("text"))
+    items = items.select("item_id", F.split("text", " ").alias("raw"), forms(F.col("text")).alias("form"))
     span = F.least(F.lit(width), F.size("raw"))
     starts = items.select("item_id", "raw", "form", span.alias("span"), F.explode(F.sequence(F.lit(0), F.size("raw") - span)).alias("at"))
     cut = starts.select("item_id", "at", "span", F.expr("slice(form, at + 1, span)").alias("form"), F.expr("slice(raw, at + 1, span)").alias("raw"))
-    plain = F.filter("form", lambda t: ~is_slot(t))
-    longest = F.array_max(F.transform(F.col("plain"), lambda t: F.struct(F.length(t).alias("n"), t.alias("word"))))["word"]
-    kept = cut.withColumn("plain", plain).filter(F.size("plain") >= F.least(F.lit(literals), F.col("span"))).filter(F.expr("plain[0] <> ''"))
+    cut = cut.withColumn("words", F.filter("form", lambda t: ~is_slot(t)))
+    kept = cut.filter((F.size("words") >= F.least(F.lit(literals), F.col("span"))) & F.expr("words[0] <> ''"))
+    longest = F.array_max(F.transform(F.col("words"), lambda t: F.struct(F.length(t).alias("n"), t.alias("word"))))["word"]
     kept = kept.withColumn("anchor", longest)
     return kept.select(
-        "item_id", "at", "span", "anchor", (F.array_position("form", F.col("anchor")) - 1).cast("int").alias("offset"),
-        F.xxhash64("form").alias("code"), F.col("form").alias("item_form"), F.col("raw").alias("item_raw"),
+        "item_id", "at", "span", F.xxhash64("anchor").alias("anchor"), (F.array_position("form", F.col("anchor")) - 1).cast("int").alias("offset"),
+        F.xxhash64(codes(F.col("form"))).alias("code"), F.col("form").alias("item_form"), F.col("raw").alias("item_raw"),
     )
 
 
@@ -61,14 +63,17 @@ def matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
     Only where a document has an anchor's word are windows cut and compared, so neither all
     windows nor the texts are shuffled.
     """
-    tokens = docs.select("row", "doc_id", words("text").alias("raw")).select("row", "doc_id", "raw", template(F.col("raw")).alias("form"))
-    placed = tokens.select("row", "doc_id", "raw", "form", F.posexplode("form").alias("pos", "anchor"))
+    cleaned = docs.select("row", "doc_id", plain("text").alias("text"))
+    tokens = cleaned.select("row", "doc_id", "text", codes(forms(F.col("text"))).alias("codes"))
+    # the outer form keeps the optimizer from computing the codes once more in a filter
+    placed = tokens.select("row", "doc_id", "text", "codes", F.posexplode_outer("codes").alias("pos", "anchor"))
     near = placed.join(windows, "anchor").withColumn("begin", F.col("pos") - F.col("offset") + 1)
-    inside = near.filter((F.col("begin") >= 1) & (F.col("begin") + F.col("span") - 1 <= F.size("form")))
-    same = inside.filter(F.xxhash64(F.expr("slice(form, begin, span)")) == F.col("code"))
+    inside = near.filter((F.col("begin") >= 1) & (F.col("begin") + F.col("span") - 1 <= F.size("codes")))
+    same = inside.filter(F.xxhash64(F.expr("slice(codes, begin, span)")) == F.col("code"))
+    same = same.withColumn("raw", F.expr("slice(split(text, ' '), begin, span)"))
     slots = F.expr(
         "transform(filter(sequence(0, span - 1), i -> item_form[i] IN ('<n>', '<name>', '<unit>')),"
-        " i -> named_struct('kind', item_form[i], 'item', item_raw[i], 'doc', raw[begin - 1 + i]))"
+        " i -> named_struct('kind', item_form[i], 'item', item_raw[i], 'doc', raw[i]))"
     )
     return same.select("row", "doc_id", "item_id", "at", slots.alias("slots"))
 
@@ -89,7 +94,7 @@ def find_leaks(
     """(row, doc_id, item_id, n_windows, item_windows, slot_share) of leaked items.
 
     Items and documents become templates: letter and digit runs, where numbers, units and
-    capitalised words are typed slots. A document leaks an item if it has a share
+    capitalised words are typed slots (a word all in capitals is lower-cased). A document leaks an item if it has a share
     ``coverage`` of the item's windows of ``width`` tokens, and the slots are consistent:
     of the distinct (item value, document value) pairs at least the share ``consistency``
     is explained by one document value for each item value. An exact copy maps each value
@@ -127,7 +132,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 ORACLE = r"""
 WITH w AS (
   SELECT item_id AS id, string_split(trim(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS raw FROM benchmark),
-wf AS (SELECT id, raw, list_transform(raw, lambda t: CASE WHEN t[1] BETWEEN '0' AND '9' THEN '<n>' WHEN t[1] <> lower(t[1]) THEN '<name>' WHEN t IN (__UNITS__) THEN '<unit>' ELSE t END) AS form FROM w),
+wf AS (SELECT id, raw, list_transform(raw, lambda t: CASE WHEN regexp_matches(t, '^[0-9]') THEN '<n>' WHEN regexp_matches(t, '^\p{Lu}\p{Ll}') THEN '<name>' WHEN lower(t) IN (__UNITS__) THEN '<unit>' ELSE lower(t) END) AS form FROM w),
 ws AS (SELECT id, unnest(range(len(raw) - least(8, len(raw)) + 1)) AS pos, least(8, len(raw)) AS span, raw, form FROM wf),
 wc AS (SELECT id, pos, span, form[pos + 1:pos + span] AS form, raw[pos + 1:pos + span] AS raw FROM ws),
 win AS (SELECT id AS item_id, array_to_string(form, ' ') AS code, min(pos) AS pos, arg_min(form, pos) AS form, arg_min(raw, pos) AS raw FROM wc
@@ -135,7 +140,7 @@ win AS (SELECT id AS item_id, array_to_string(form, ' ') AS code, min(pos) AS po
     AND list_filter(form, lambda t: t NOT IN ('<n>', '<name>', '<unit>'))[1] <> '' GROUP BY id, code),
 spans AS (SELECT DISTINCT len(form) AS span FROM win),
 d AS (SELECT doc_id, string_split(trim(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS raw FROM documents),
-df AS (SELECT doc_id, raw, list_transform(raw, lambda t: CASE WHEN t[1] BETWEEN '0' AND '9' THEN '<n>' WHEN t[1] <> lower(t[1]) THEN '<name>' WHEN t IN (__UNITS__) THEN '<unit>' ELSE t END) AS form FROM d),
+df AS (SELECT doc_id, raw, list_transform(raw, lambda t: CASE WHEN regexp_matches(t, '^[0-9]') THEN '<n>' WHEN regexp_matches(t, '^\p{Lu}\p{Ll}') THEN '<name>' WHEN lower(t) IN (__UNITS__) THEN '<unit>' ELSE lower(t) END) AS form FROM d),
 ds AS (SELECT doc_id, span, unnest(range(len(raw) - span + 1)) AS pos, raw, form FROM df, spans WHERE len(raw) >= span),
 dw AS (SELECT doc_id, raw[pos + 1:pos + span] AS raw, array_to_string(form[pos + 1:pos + span], ' ') AS code FROM ds),
 m AS (SELECT dw.doc_id, win.item_id, win.pos, win.form AS f, win.raw AS i, dw.raw AS d FROM dw JOIN win ON dw.code = win.code),
