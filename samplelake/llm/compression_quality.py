@@ -160,7 +160,15 @@ def score_quality(
     return chosen.mapInArrow(run, SCHEMA)
 
 
-def keep_good(docs: DataFrame, scored: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not rejected; ``scored`` holds each document's verdict."""
-    rejected = scored.filter("predicted = 0").select("doc_id").distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["doc_id"]), "left_anti")
+def keep_good(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest: int = 20_000, threshold: float = 0.7, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns; fitted
+    and defined as in :func:`score_quality`. Rows are filtered where they are read."""
+    bounded_batches(docs.sparkSession)
+    model = fit(*training_rows(docs, labels, per_class, longest, doc_id, text))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            yield batch.filter(pa.array(model.scores(model.differences(texts)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
