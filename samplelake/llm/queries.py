@@ -58,7 +58,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op6_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_documents(_documents(spark, sf_dir))
+    return clean_documents(_documents(spark, sf_dir)).drop("clean_text")
 
 
 @_query
