@@ -6,29 +6,42 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ODD_SPACE, bounded_batches, text_or_empty, tokenizer_path
+from .common import bounded_batches, text_or_empty, tokenizer_path
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-PLAIN_SPACE = re.compile("[\t-\r ]+")
+#: Latin letters that lower-case one by one and are composed, then marks without an
+#: apostrophe, which could begin a contraction.
+SIMPLE = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:;=?@\\[-`{}~]*)")
 
 
 class WordCache:
-    """Ids of whole texts, through the ids of their white-space separated parts.
+    """Ids of whole texts, through the ids of their parts between ASCII white space.
 
     The tokenizer's patterns never match across white space, nor does its normaliser
-    compose across it, so a text's ids are its parts' ids in order. Each part goes to the
-    library once while no more than about ``entries`` are kept; later ones are encoded
-    once a batch.
+    compose across it, so a text's ids are its parts' ids in order. A part of Latin letters
+    and a tail of marks is likewise its lower-cased letters' ids and its tail's. What is
+    new goes to the library once while no more than about ``entries`` parts are kept; later
+    ones are encoded once a batch. A Python worker keeps them from task to task.
     """
 
+    _of: ClassVar[dict[tuple[str, int], WordCache]] = {}
+
+    @classmethod
+    def of(cls, path: str, entries: int) -> WordCache:
+        if (path, entries) not in cls._of:
+            cls._of[path, entries] = cls(path, entries)
+        return cls._of[path, entries]
+
     def __init__(self, path: str, entries: int) -> None:
         import os
 
@@ -40,30 +53,50 @@ class WordCache:
         self.library.no_padding()
         self.known: dict[str, bytes] = {}
 
-    @staticmethod
-    def parts(text: str) -> list[str]:
-        return text.split() if not ODD_SPACE.search(text) else [p for p in PLAIN_SPACE.split(text) if p]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit numbers."""
-        get, split = self.known.get, [self.parts(t) for t in texts]
-        found = [list(map(get, parts)) for parts in split]
-        new = list({p for parts, ids in zip(split, found) if None in ids for p, x in zip(parts, ids) if x is None})
-        fresh: dict[str, bytes] = {}
-        for i in range(0, len(new), 200):
-            some = new[i : i + 200]
+    def ask(self, parts: list[str]) -> dict[str, bytes]:
+        """The library's ids of each part; many go to it as one text."""
+        out: dict[str, bytes] = {}
+        for i in range(0, len(parts), 200):
+            some = parts[i : i + 200]
             joined = self.library.encode(" ".join(some), add_special_tokens=False)
-            ids = np.array(joined.ids, "<u4")
-            ends = np.cumsum([len(p) + 1 for p in some])
-            cuts = np.searchsorted([x[0] for x in joined.offsets], ends)
-            raw, at = ids.tobytes(), 0
+            cuts = np.searchsorted([x[0] for x in joined.offsets], np.cumsum([len(p) + 1 for p in some]))
+            raw, at = np.array(joined.ids, "<u4").tobytes(), 0
             for part, cut in zip(some, (4 * cuts).tolist()):
-                fresh[part] = raw[at:cut]
+                out[part] = raw[at:cut]
                 at = cut
-        for parts, ids in zip(split, found):
-            yield b"".join(ids if None not in ids else [fresh[p] if x is None else x for p, x in zip(parts, ids)])
-        if len(self.known) < self.entries:
-            self.known.update((p, x) for p, x in fresh.items() if len(p) <= 64)
+        return out
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit numbers.
+
+        Arrow splits the batch and numbers its distinct parts; Python sees each of these
+        once, and numpy puts the ids in order.
+        """
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        parts, known = coded.dictionary.to_pylist(), self.known
+        found = list(map(known.get, parts))
+        new = [p for p, ids in zip(parts, found) if ids is None and p]
+        composed = {p: (m[1].lower(), m[2]) for p in new if (m := SIMPLE.fullmatch(p))}
+        fresh = self.ask(list({y for p in new for y in composed.get(p, (p,)) if y and y not in known}))
+        for part, (stem, tail) in composed.items():
+            ids = known.get(stem) or fresh[stem]
+            fresh[part] = ids + (known.get(tail) or fresh[tail]) if tail else ids
+        fresh[""] = b""
+        found = [fresh[p] if ids is None else ids for p, ids in zip(parts, found)]
+        if len(known) < self.entries:
+            known.update((p, x) for p, x in fresh.items() if len(p) <= 64)
+
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        codes = coded.indices.to_numpy()
+        begins = np.cumsum(sizes) - sizes
+        own = sizes[codes]
+        ends = np.cumsum(own)
+        places = np.repeat(begins[codes] - (ends - own), own) + np.arange(int(ends[-1]) if len(ends) else 0)
+        ids = np.frombuffer(b"".join(found), "<u4")[places].tobytes()
+        bounds = 4 * np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        for i in range(len(texts)):
+            yield ids[bounds[i] : bounds[i + 1]]
 
 
 def differencing(sizes: list[int], ways: int) -> list[list[int]]:
@@ -110,9 +143,9 @@ def pack_documents(
     capacity: int = 4096,
     end_id: int = 2,
     piece: int = 512,
-    windows: int = 64,
+    windows: int = 32,
     slack: float = 0.005,
-    cache_entries: int = 1_200_000,
+    cache_entries: int = 2_000_000,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
@@ -129,11 +162,11 @@ def pack_documents(
     gives no rows; other columns are ignored.
     """
     path = tokenizer or tokenizer_path("word_bpe_49k.json")
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 16)
     room = int(windows * capacity * (1 - slack))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(path, cache_entries)
+        cache = WordCache.of(path, cache_entries)
         task = TaskContext.get()
         sequence = (task.partitionId() if task else 0) << 40
         end = np.array([end_id], "<u4").tobytes()
@@ -165,7 +198,7 @@ def pack_documents(
         sources: list[tuple] = []  # of waiting parts: their ids, while a last cut may still fall into them
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for key, ids in zip(keys, cache.encode(batch.column(1).to_pylist())):
+            for key, ids in zip(keys, cache.encode(batch.column(1))):
                 ids += end
                 at, n = 0, len(ids) // 4
                 while n - at >= capacity:

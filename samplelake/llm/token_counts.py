@@ -78,7 +78,7 @@ def count_tokens(
     empty table gives no rows; other columns are ignored. No shuffle; a task holds a batch.
     """
     path = tokenizer or tokenizer_path("byte_bpe_50k.json")
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
