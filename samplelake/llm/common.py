@@ -53,12 +53,12 @@ def ship(spark: SparkSession) -> None:
     context._samplelake_shipped = True
 
 
-def bounded_batches(spark: SparkSession, megabytes: int = 16) -> None:
+def bounded_batches(spark: SparkSession, megabytes: int = 4) -> None:
     """Readies Python workers: sends them this package, and bounds the bytes (not only the
     rows) that one Arrow batch hands to them."""
     ship(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key, str(2**31 - 1))) > megabytes << 20:
+    if int(spark.conf.get(key, str(2**31 - 1))) != megabytes << 20:
         spark.conf.set(key, str(megabytes << 20))
 
 
