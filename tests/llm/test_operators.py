@@ -169,6 +169,19 @@ def test_templates_generalise(spark):
     assert out[1] == (rows[0][1], 0) and out[2] == ("Some other line of the second text", 1) and out[3] == ("x", 1)
 
 
+def test_other_words_are_no_variants(spark):
+    """Words that share the one-character code are still other words."""
+    words = ["q" + a + b for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    coded: dict = {}
+    for r in spark.createDataFrame([(w,) for w in words], "w string").selectExpr("w", "pmod(hash(w), 127) AS c").collect():
+        coded.setdefault(r.c, []).append(r.w)
+    (a, b), (c, d) = [own[:2] for own in coded.values() if len(own) > 1][:2]
+    seed = f"one two three {a} {c}"
+    rows = [(1, seed), (2, seed), (3, f"one two three {b} {d}"), (4, f"one two three {b} {c}")]
+    out = {r.doc_id: r.n_dropped for r in drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: 0, 2: 1, 3: 0, 4: 1}
+
+
 def test_reparameterised_questions(spark):
     item = "If Maria buys 12 apples and 7 pears for 3 dollars each, how much does Maria pay for all of the fruit in total today?"
     other = item.replace("Maria", "Peter").replace("12", "45").replace("dollars", "euros")
