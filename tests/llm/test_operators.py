@@ -256,6 +256,28 @@ def test_passages_by_brute_force(docs, texts):
         assert len(x) >= 45 and sum((a & b).values()) >= 0.6 * sum((a | b).values())
 
 
+def test_passage_that_recurs_in_one_text(spark):
+    """A teaser before the passage, the passage twice, and a shingle whose first windows are apart."""
+    words = [f"p{i}" for i in range(60)]
+
+    def own(name, n):
+        return [f"{name}{i}" for i in range(n)]
+
+    one = own("a", 40) + words + own("b", 40)
+    teaser = words[:30] + own("c", 70) + words + own("d", 9)
+    twice = own("e", 40) + words + own("f", 40) + words
+    first, then, again = (np.array(cw.shingles(" ".join(t), 5)) for t in (one, teaser, twice))
+    assert cw.passages(first, then, 46, 0.8) == [(40, 96, 100, 156)]
+    assert cw.passages(first, again, 46, 0.8) == [(40, 96, 40, 96), (40, 96, 140, 196)]
+    assert cw.passages(again, first, 46, 0.8) == [(40, 96, 40, 96), (140, 196, 40, 96)]
+    same = np.array(cw.shingles("x " * 400, 5))
+    assert cw.passages(same, same, 46, 0.8) == [(0, 396, 0, 396)]
+    assert {i + x for x, y, _ in cw.diagonals(first, again, 7) for i in range(y - x)} == set(range(40, 96))
+    rows = cw.repeated_passages(spark.createDataFrame([(1, " ".join(one)), (2, " ".join(teaser)), (3, " ".join(twice))], "doc_id long, text string")).collect()
+    got = {(r.doc_id, r.other_id, r.start_word, r.other_start) for r in rows}
+    assert {(1, 2, 40, 100), (2, 1, 100, 40), (1, 3, 40, 40), (1, 3, 40, 140), (3, 1, 140, 40)} <= got
+
+
 def test_compact_windows_cover_every_run():
     values = np.random.default_rng(1).integers(0, 40, 120).astype(np.uint64)
     found = cw.compact_windows(values, 10)
