@@ -34,8 +34,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage, so a lost executor costs a re-read and no recomputation.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that no later plan reads."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._staged_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:
@@ -73,8 +83,16 @@ def fold(doc_id: str | Column, n: int) -> Column:
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """Key of a document, never null: rows that repeat both id and text share it."""
-    return F.xxhash64(F.col(doc_id).cast("string"), F.col(text))
+    """128-bit key of a document, never null: only rows that repeat both id and text share
+    it. A null differs from every value."""
+    parts = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in (F.col(doc_id).cast("string"), F.col(text))]
+    return F.unhex(F.md5(F.concat(*parts)))
+
+
+def beside(docs: DataFrame, **helpers: Column) -> DataFrame:
+    """All columns of ``docs`` in one struct named doc, so that their names can't clash
+    with the helper columns; ``select("doc.*")`` gives them back."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), *(c.alias(name) for name, c in helpers.items()))
 
 
 def tokenizer_path(name: str) -> str:

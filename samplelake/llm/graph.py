@@ -5,33 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label) of every node of ``edges`` (a, b): the least node of its component.
 
-    Alternates large-star and small-star steps until the edges stay as they are. Each step
-    is a group-by on nodes with partial aggregation; nothing is gathered on the driver but
-    a count and a checksum. Loops and repeated edges don't matter.
+    Each round a node takes the least label of its neighbours and itself, and then that
+    label's own label, until no label changes. Both are joins whose large keys Spark can
+    split, followed by a group-by with partial aggregation, so a hub's edges meet in no one
+    task. The driver sees a count and a checksum only. Loops and repeated edges don't matter.
     """
-    pairs = edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).filter("u <> v").distinct()
-    now, mark = staged(pairs, "edges"), None
+    links = staged(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    ways = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    now = staged(ways.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "labels")
+    mark = _mark(now)
     for _ in range(rounds):
-        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        now = staged(small, "edges")
-        new = now.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if tuple(new) == mark:
-            break
-        mark = tuple(new)
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
+        seen = ways.join(now.select(F.col("node").alias("v"), "label"), "v").select(F.col("u").alias("node"), "label")
+        low = seen.unionByName(now).groupBy("node").agg(F.min("label").alias("label"))
+        jumped = low.join(now.select(F.col("node").alias("label"), F.col("label").alias("next")), "label").select("node", F.col("next").alias("label"))
+        new = staged(jumped, "labels")
+        discard(now)
+        now, before, mark = new, mark, _mark(new)
+        if mark == before:
+            discard(links)
+            return now
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def _mark(labels: DataFrame) -> tuple:
+    return tuple(labels.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(node, label))")).first())
 
 
 def labelled(nodes: DataFrame, found: DataFrame, node: str, label: str) -> DataFrame:
@@ -42,7 +45,7 @@ def labelled(nodes: DataFrame, found: DataFrame, node: str, label: str) -> DataF
 
 def texts_of(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """(row, text) of the documents in ``pairs`` (a, b), one for each row key; written to
-    the shared folder, since later rounds read them again."""
+    the shared folder, since it is read once for either end of a pair."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
     return staged(docs.select("row", "text").join(wanted, "row", "left_semi").dropDuplicates(["row"]), name)
 

@@ -29,29 +29,53 @@ class WordCache:
 
     The tokenizer's patterns never match across white space, nor does its normaliser
     compose across it, so a text's ids are its parts' ids in order. A part of Latin letters
-    and a tail of marks is likewise its lower-cased letters' ids and its tail's. What is
-    new goes to the library once while no more than about ``entries`` parts are kept; later
-    ones are encoded once a batch. A Python worker keeps them from task to task.
+    and a tail of marks is likewise its lower-cased letters' ids and its tail's. What is new
+    goes to the library once while it is kept. Kept parts are in two generations of at most
+    ``room`` bytes: a full one becomes the older, whose parts return when they are met
+    again and are forgotten otherwise. The library stays in the worker, parts until the
+    end of a task.
     """
 
     _of: ClassVar[dict[tuple[str, int], WordCache]] = {}
+    #: Bytes of an entry beside its characters and ids: two objects and their place.
+    ENTRY = 200
 
     @classmethod
-    def of(cls, path: str, entries: int) -> WordCache:
-        if (path, entries) not in cls._of:
-            cls._of[path, entries] = cls(path, entries)
-        return cls._of[path, entries]
+    def of(cls, path: str, room: int) -> WordCache:
+        if (path, room) not in cls._of:
+            cls._of[path, room] = cls(path, room)
+        return cls._of[path, room]
 
-    def __init__(self, path: str, entries: int) -> None:
+    def __init__(self, path: str, room: int) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.entries = Tokenizer.from_file(path), entries
+        self.library, self.room = Tokenizer.from_file(path), room
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
+
+    def get(self, part: str) -> bytes | None:
+        """What is kept, from either generation; it is young again."""
+        ids = self.young.get(part)
+        if ids is None and (ids := self.old.get(part)) is not None:
+            self.keep(part, ids)
+        return ids
+
+    def keep(self, part: str, ids: bytes) -> None:
+        if len(part) > 64:
+            return
+        self.young[part] = ids
+        self.held += self.ENTRY + len(part) + len(ids)
+        if self.held > self.room:
+            self.young, self.old, self.held = {}, self.young, 0
 
     def ask(self, parts: list[str]) -> dict[str, bytes]:
         """The library's ids of each part; many go to it as one text."""
@@ -74,18 +98,19 @@ class WordCache:
         """
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        parts, known = coded.dictionary.to_pylist(), self.known
-        found = list(map(known.get, parts))
+        parts = coded.dictionary.to_pylist()
+        found = [self.get(p) if ids is None else ids for p, ids in zip(parts, map(self.young.get, parts))]
         new = [p for p, ids in zip(parts, found) if ids is None and p]
         composed = {p: (m[1].lower(), m[2]) for p in new if (m := SIMPLE.fullmatch(p))}
-        fresh = self.ask(list({y for p in new for y in composed.get(p, (p,)) if y and y not in known}))
+        pieces = {y: self.get(y) for p in new for y in composed.get(p, (p,)) if y}
+        fresh = self.ask([y for y, ids in pieces.items() if ids is None])
+        pieces.update(fresh)
         for part, (stem, tail) in composed.items():
-            ids = known.get(stem) or fresh[stem]
-            fresh[part] = ids + (known.get(tail) or fresh[tail]) if tail else ids
+            fresh[part] = pieces[stem] + pieces[tail] if tail else pieces[stem]
         fresh[""] = b""
         found = [fresh[p] if ids is None else ids for p, ids in zip(parts, found)]
-        if len(known) < self.entries:
-            known.update((p, x) for p, x in fresh.items() if len(p) <= 64)
+        for part, ids in fresh.items():
+            self.keep(part, ids)
 
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         codes = coded.indices.to_numpy()
@@ -145,7 +170,7 @@ def pack_documents(
     piece: int = 512,
     windows: int = 32,
     slack: float = 0.005,
-    cache_entries: int = 2_000_000,
+    cache_bytes: int = 24 << 20,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
@@ -157,16 +182,16 @@ def pack_documents(
     of their room, and lets Karmarkar-Karp differencing spread them. What is left at a
     task's end fills whole windows too, and the last few tokens go to sequences whose
     lengths are powers of two, which need no padding. No shuffle; a task holds the parts
-    of one group of windows. Sequence ids hold the partition's number, so a task that runs
+    of one group of windows, and ``cache_bytes`` of encoded parts twice. Sequence ids hold the partition's number, so a task that runs
     again gives the same rows. Repeated rows are packed each for itself; an empty table
     gives no rows; other columns are ignored.
     """
     path = tokenizer or tokenizer_path("word_bpe_49k.json")
-    bounded_batches(docs.sparkSession, 16)
+    bounded_batches(docs.sparkSession)
     room = int(windows * capacity * (1 - slack))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache.of(path, cache_entries)
+        cache = WordCache.of(path, cache_bytes)
         task = TaskContext.get()
         sequence = (task.partitionId() if task else 0) << 40
         end = np.array([end_id], "<u4").tobytes()
@@ -242,6 +267,7 @@ def pack_documents(
                 if a + take == b:
                     rest.pop(0)
             place(window)
+        cache.forget()
         yield flush()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).mapInArrow(run, SCHEMA)

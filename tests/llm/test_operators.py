@@ -340,7 +340,7 @@ def test_packing_round_trip(spark, docs, odd, texts):
 
 
 def test_part_ids_are_the_librarys():
-    cache = pk.WordCache(tokenizer_path("word_bpe_49k.json"), 3)
+    cache = pk.WordCache(tokenizer_path("word_bpe_49k.json"), 3000)
     texts = [t or "" for t in ODD]
     for _ in range(2):
         for text, raw in zip(texts, cache.encode(pa.array(texts))):
