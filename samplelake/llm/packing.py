@@ -170,7 +170,7 @@ def pack_documents(
     piece: int = 512,
     windows: int = 32,
     slack: float = 0.005,
-    cache_bytes: int = 24 << 20,
+    cache_bytes: int = 40 << 20,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
