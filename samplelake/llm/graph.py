@@ -45,8 +45,10 @@ def labelled(nodes: DataFrame, found: DataFrame, node: str, label: str) -> DataF
 
 def texts_of(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """(row, text) of the documents in ``pairs`` (a, b), one for each row key; written to
-    the shared folder, since it is read once for either end of a pair."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    the shared folder, since it is read once for either end of a pair. A merge join at any
+    size: documents are shuffled once however few they are."""
+    ends = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row")))
+    wanted = ends.distinct().hint("merge")
     return staged(docs.select("row", "text").join(wanted, "row", "left_semi").dropDuplicates(["row"]), name)
 
 
