@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ODD_SPACE, bounded_batches, fold, staged, text_or_empty
@@ -35,7 +38,7 @@ class Model:
     """Vectors of the vocabulary's words as contexts (``R``) and as predictions (``Q``), a
     diagonal weight for each context position (``C``), and biases (``b``).
 
-    Numbers: 0 the end, which also stands before a text; 1 to V - 1 words; V any other."""
+    Numbers: 0 the end, which also stands before a text; then words; then classes of words."""
 
     CONTEXT = 2
 
@@ -138,11 +141,34 @@ def token_counts(docs: DataFrame, held_entries: int = 400_000) -> DataFrame:
     return docs.filter("NOT held_out").select("text").mapInArrow(run, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def numbers(texts: list[str], index: dict[str, int], other: int) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-    """All texts' token numbers one after another, where each text begins, and the tokens."""
-    split = [tokens_of(t) for t in texts]
-    flat = np.fromiter((index.get(w, other) for s in split for w in s), np.int32, sum(map(len, split)))
-    return flat, np.cumsum([0, *map(len, split)]), split
+class Entries:
+    """The model's entry of each token: a frequent word's own, or that of its class, which is
+    its ending's hash and so needs no list of words."""
+
+    def __init__(self, vocabulary: list[str], classes: int, ending: int = 2) -> None:
+        self.index = {w: i for i, w in enumerate(vocabulary)}
+        self.words, self.classes, self.ending = len(vocabulary), classes, ending
+        self.known: dict[str, int] = {}
+
+    def of(self, token: str) -> int:
+        ending = token[-self.ending :]
+        found = self.known.get(ending)
+        if found is None:
+            found = self.words + zlib.crc32(ending.encode("utf-8", "replace")) % self.classes
+            if len(self.known) < 65_536:
+                self.known[ending] = found
+        return found
+
+    def column(self, token: str) -> Column:
+        """The class of a token's column."""
+        return F.pmod(F.crc32(F.expr(f"right({token}, {self.ending})").cast("binary")), F.lit(self.classes)).cast("int")
+
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+        """All texts' entries one after another, where each text begins, and the tokens."""
+        split = [tokens_of(t) for t in texts]
+        get, of = self.index.get, self.of
+        flat = [i if (i := get(w)) is not None else of(w) for s in split for w in s]
+        return np.array(flat, np.int32), np.cumsum([0, *map(len, split)]), split
 
 
 def contexts(flat: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -157,13 +183,11 @@ def contexts(flat: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, vocabulary: list[str], counts: np.ndarray, width: int, rounds: int, rate: float, noises: int, batch: int) -> Model:
+def train(docs: DataFrame, entries: Entries, counts: np.ndarray, width: int, rounds: int, rate: float, noises: int, batch: int) -> Model:
     """Each task learns from all its training texts, starting from the same parameters;
     their mean, weighted by tokens, is the next round's start. Rows of the parameters are
     added up by the shuffle, so the driver gets one model's rows however many tasks ran."""
     model = Model(counts, width)
-    index = {w: i for i, w in enumerate(vocabulary)}
-    other = len(vocabulary)
     for turn in range(rounds):
         start = model.flat()
 
@@ -172,7 +196,7 @@ def train(docs: DataFrame, vocabulary: list[str], counts: np.ndarray, width: int
             own.load(start)
             rng = np.random.default_rng(11 + turn)
             for some in batches:
-                flat, begins, _ = numbers(some.column(0).to_pylist(), index, other)
+                flat, begins, _ = entries.numbers(some.column(0).to_pylist())
                 before = contexts(flat, begins)
                 order = rng.permutation(len(flat))
                 for i in range(0, len(order), batch):
@@ -194,9 +218,68 @@ def train(docs: DataFrame, vocabulary: list[str], counts: np.ndarray, width: int
     return model
 
 
+def frequent_tokens(counts: DataFrame, head: int) -> dict[str, int]:
+    """The tokens with the highest counts, ``head`` at most: all tokens of the ranges of
+    counts, an eighth of a power of two each, that still fit. The driver gets the ranges'
+    sizes and these tokens only, however large the table of counts is."""
+    wide = F.floor(F.log2("c") * 8).cast("int")
+    sizes = sorted(counts.groupBy(wide.alias("range")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True)
+    total, least = 0, None
+    for r in sizes:
+        total += r["n"]
+        if total > head:
+            break
+        least = r["range"]
+    return {} if least is None else {r["token"]: r["c"] for r in counts.filter(wide >= least).collect()}
+
+
+@dataclass
+class Scorer:
+    """All that scoring needs: entries, counts of frequent tokens, the model's tables, and of
+    each class the logarithm of its words' smoothed counts in sum."""
+
+    entries: Entries
+    known: dict[str, int]
+    tables: tuple[np.ndarray, ...]
+    class_totals: np.ndarray
+    base_total: float
+
+    def logs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[str]], np.ndarray, np.ndarray]:
+        """Where texts begin; whether a token is known here; tokens; log10 of the model and of
+        the unigrams, to which log10(c + 1) of a token that is not known here is to be added."""
+        first, second, bias, total = self.tables
+        flat, begins, split = self.entries.numbers(texts)
+        before = contexts(flat, begins)
+        logs = first[before[:, 0], flat] + second[before[:, 1], flat] + bias[flat] - total[before[:, 0], before[:, 1]]
+        logs = logs.astype(np.float64) / float(np.log(10))
+        counts = np.fromiter((c for s in split for c in map(self.known.get, s, repeat(0))), np.float64, len(flat))
+        sizes = np.log10(counts + 1)
+        words = self.entries.words
+        inside = flat < words
+        logs += np.where(inside, 0.0, sizes - self.class_totals[np.where(inside, 0, flat - words)])
+        return begins, counts > 0, split, logs, sizes - self.base_total
+
+
+def fitted(docs: DataFrame, counts: DataFrame, n: int, v: int, vocabulary_size: int, classes: int, head: int, width: int, rounds: int, rate: float, noises: int, batch: int) -> Scorer:
+    """Learns from the rows of ``docs`` (text, held_out) that aren't held out."""
+    known = frequent_tokens(counts, head)
+    ranked = sorted((w for w in known if w != END), key=lambda w: (-known[w], w))
+    vocabulary = [END, *ranked[: vocabulary_size - 1]]
+    entries = Entries(vocabulary, classes)
+    sums = {r["k"]: (r["c"], r["n"]) for r in counts.groupBy(entries.column("token").alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect()}
+    mass = np.array([sums.get(k, (0, 0)) for k in range(classes)], np.float64).reshape(classes, 2)
+    for w in vocabulary:
+        if w in known:
+            mass[entries.of(w) - entries.words] -= (known[w], 1)
+    inside = [known.get(w, 0) for w in vocabulary]
+    model = train(docs, entries, np.array([*inside, *mass[:, 0]], np.float64) + 0.5, width, rounds, rate, noises, batch)
+    return Scorer(entries, known, model.tables(), np.log10(mass.sum(1) + 1), float(np.log10(n + v + 1)))
+
+
 def score_texts(
     docs: DataFrame,
-    vocabulary_size: int = 1024,
+    vocabulary_size: int = 768,
+    classes: int = 256,
     width: int = 16,
     rounds: int = 1,
     rate: float = 0.1,
@@ -209,66 +292,38 @@ def score_texts(
     """Scores every whole text by a log-bilinear model and by smoothed unigrams.
 
     Tokens are counted over all training texts (crc32 of the id modulo 7 is not 2). The
-    model predicts a token from the two before it, over the ``vocabulary_size`` most
-    frequent tokens and one entry for all others; it is trained by noise-contrastive
-    estimation on all training texts, in every task, and averaged. A token outside the
-    vocabulary has the probability of that entry times its smoothed share (c + 1) / Z,
-    where Z adds up c + 1 over all such tokens and 1 for unseen ones, so probabilities add
-    up to 1 over the V training tokens and one unseen. ``score`` is the sum of log10 over a
-    text's tokens, its end included; ``base_score`` that of (c + 1) / (N + V + 1).
-
-    The counts of the ``head`` most frequent tokens go to every task. All others of a text
-    are joined with the whole table of counts, so nothing that grows is on the driver. The
-    row of a text keeps its place (partition and number), so repeated rows and ids are
-    scored each for itself. Null texts count as empty: one token, the end. Null ids are as
-    the empty id. Without training texts N = V = 0. Other columns are ignored.
+    model predicts a token from the two before it: one of the ``vocabulary_size`` most
+    frequent, or one of ``classes`` classes, to which all others belong by their endings, as
+    tokens and as contexts. It is trained by noise-contrastive estimation on all training
+    texts, in every task, and averaged. A token of a class has the probability of the class
+    times its smoothed share (c + 1) / Z, where Z adds up c + 1 over the class's tokens and
+    1 for unseen ones, so probabilities add up to 1 over the V training tokens and one unseen
+    of each class. ``score`` is the sum of log10 over a text's tokens, its end included;
+    ``base_score`` that of (c + 1) / (N + V + 1).
+
+    The counts of the most frequent tokens, ``head`` at most, go to every task. All others
+    of a text are joined with the whole table of counts, so nothing that grows is on the
+    driver. The row of a text keeps its place (partition and number), so repeated rows and
+    ids are scored each for itself. Null texts count as empty: one token, the end. Null ids
+    are as the empty id. Without training texts N = V = 0. Other columns are ignored.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"), (fold(doc_id, 7) == 2).alias("held_out"))
     counts = staged(token_counts(keyed), "counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    frequent = counts.orderBy(F.col("c").desc(), "token").limit(head).collect()  # ``head`` rows at most
-    known = {r["token"]: r["c"] for r in frequent}
-    vocabulary = [END, *[r["token"] for r in frequent if r["token"] != END][: vocabulary_size - 1]]
-    inside = [known.get(w, 0) for w in vocabulary]
-    outside = n - sum(inside) + (v - sum(w in known for w in vocabulary)) + 1
-    model = train(keyed, vocabulary, np.array([*inside, max(1, n - sum(inside))], np.float64) + 0.5, width, rounds, rate, noises, batch)
-    tables = model.tables()
-    index = {w: i for i, w in enumerate(vocabulary)}
-    other = len(vocabulary)
-    base_total, other_total = np.log10(n + v + 1), np.log10(outside)
-    ln10 = float(np.log(10))
-    shipped = spark.sparkContext.broadcast((index, known, tables))
+    shipped = spark.sparkContext.broadcast(fitted(keyed, counts, n, v, vocabulary_size, classes, head, width, rounds, rate, noises, batch))
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, known, (first, second, bias, total) = shipped.value
-        size = {w: float(np.log10(c + 1)) for w, c in known.items()}
-        # of an entry: the vocabulary's number, or ``other``; log10(c + 1); 1 if it is known
+        scorer = shipped.value
         for some in batches:
-            flat, begins, split = numbers(some.column(1).to_pylist(), index, other)
-            before = contexts(flat, begins)
-            logs = first[before[:, 0], flat] + second[before[:, 1], flat] + bias[flat] - total[before[:, 0], before[:, 1]]
-            logs = logs.astype(np.float64) / ln10
-            values = np.fromiter((size.get(w, -1.0) for s in split for w in s), np.float64, len(flat))
-            seen = values >= 0
-            base = np.where(seen, values, 0.0) - base_total
-            logs += np.where(flat == other, np.where(seen, values, 0.0) - other_total, 0.0)
+            begins, seen, split, logs, base = scorer.logs(some.column(1).to_pylist())
             rest = [[w for w, k in zip(s, seen[a : a + len(s)].tolist()) if not k] if not seen[a : a + len(s)].all() else [] for s, a in zip(split, begins)]
             cuts = begins[:-1]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    some.column(0),
-                    some.column(2),
-                    pa.array(np.diff(begins)),
-                    pa.array(np.add.reduceat(seen.astype(np.int64), cuts) if len(cuts) else np.empty(0, np.int64)),
-                    pa.array(np.add.reduceat(base, cuts) if len(cuts) else np.empty(0)),
-                    pa.array(np.add.reduceat(logs, cuts) if len(cuts) else np.empty(0)),
-                    pa.array(rest, pa.list_(pa.string())),
-                ],
-                names=names,
-            )
+            sums = [np.add.reduceat(x, cuts) if len(cuts) else x[:0] for x in (seen.astype(np.int64), base, logs)]
+            columns = [some.column(0), some.column(2), pa.array(np.diff(begins)), *map(pa.array, sums), pa.array(rest, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail array<string>"
     rows = staged(keyed.select("doc_id", "text", "held_out").mapInArrow(run, schema).withColumn("place", F.monotonically_increasing_id()), "scored")
@@ -276,7 +331,7 @@ def score_texts(
     added = tail.groupBy("place").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("gain"))
     joined = rows.drop("tail").join(added, "place", "left")
     gain = F.coalesce("gain", F.lit(0.0))
-    # a token outside the head is outside the vocabulary too: both scores gain as much
+    # a token that a task doesn't know is of a class: both scores gain as much
     return joined.select(
         "doc_id",
         "held_out",
