@@ -58,14 +58,14 @@ def program(parts: Column, total: Column) -> Column:
     return F.when(silent, whole).otherwise(F.filter(ranges, lambda r: r["lo"] < r["hi"]))
 
 
-def program_frames(programs: DataFrame, most: int) -> DataFrame:
-    """(path, slot, rep, pos, frame): the frames in playing order, of each segment's first
-    ``most``; an endless one plays once."""
+def program_frames(programs: DataFrame) -> DataFrame:
+    """(path, slot, rep, pos, frame): all frames in playing order; an endless segment
+    plays once, an empty one not at all."""
     slots = programs.select("path", F.posexplode("program").alias("slot", "r"))
     reps = F.when(F.col("r.reps") == 255, 1).otherwise(F.col("r.reps"))
     turns = slots.select("path", "slot", "r", F.explode(F.sequence(F.lit(1), reps)).alias("rep"))
-    length = F.least(F.col("r.hi") - F.col("r.lo"), F.lit(most))
-    steps = turns.select("path", "slot", "rep", "r", F.explode(F.sequence(F.lit(0).cast("long"), length - 1)).alias("pos"))
+    length = F.col("r.hi") - F.col("r.lo")
+    steps = turns.filter(length > 0).select("path", "slot", "rep", "r", F.explode(F.sequence(F.lit(0).cast("long"), length - 1)).alias("pos"))
     return steps.select("path", "slot", "rep", "pos", F.when(F.col("r.reversed"), F.col("r.hi") - 1 - F.col("pos")).otherwise(F.col("r.lo") + F.col("pos")).alias("frame"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,33 +23,44 @@ def similarity(dist: Column, most: Column) -> Column:
     return F.when(most <= 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - dist / most)))
 
 
-def sub_vectors(vec: Column, width: int) -> Column:
-    """Consecutive parts of ``width`` numbers each."""
-    count = (F.size(vec) / width).cast("int")
-    return F.transform(F.sequence(F.lit(0), count - 1), lambda m: F.slice(vec, m * width + 1, F.lit(width)))
-
-
 def encode(vec: Column, codebook: list[list[list[float]]]) -> Column:
-    """For each sub-vector the number of the nearest centroid; ties give the lowest.
+    """For each sub-vector the number of the nearest centroid; ties give the lowest. A null
+    vector, or one of another length, has a null code.
 
-    The codebook [m][k][width] has a fixed size and is part of the expression.
+    The codebook [m][k][width] has a fixed size and goes to each worker with the function,
+    which takes vectors in Arrow batches and compares them a block at a time.
     """
-    width = len(codebook[0][0])
-    book = F.array(*[F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in part]) for part in codebook])
-    parts = sub_vectors(vec, width)
-
-    def nearest(part: Column, m: Column) -> Column:
-        found = F.transform(F.element_at(book, m + 1), lambda c, k: F.struct(F.round(squared(part, c), 9).alias("d"), k.alias("k")))
-        return F.array_min(found)["k"].cast("smallint")
-
-    return F.transform(parts, nearest)
+    book = np.asarray(codebook, np.float64)
+    parts, _, width = book.shape
+    whole = parts * width
+
+    @F.pandas_udf("array<smallint>")
+    def nearest(vectors: pd.Series) -> pd.Series:
+        out: list = [None] * len(vectors)
+        good = [i for i, x in enumerate(vectors) if x is not None and len(x) == whole]
+        for a in range(0, len(good), 512):
+            rows = good[a : a + 512]
+            x = np.stack([vectors.iloc[i] for i in rows]).astype(np.float64).reshape(len(rows), parts, width)
+            codes = np.empty((len(rows), parts), np.int16)
+            for m in range(parts):
+                codes[:, m] = np.round(((x[:, m, None] - book[None, m]) ** 2).sum(2), 9).argmin(1)
+            for i, code in zip(rows, codes):
+                out[i] = code
+        return pd.Series(out)
+
+    return nearest(vec)
 
 
 def table_distance(code: Column, table: list[list[float]]) -> Column:
     """Sum over sub-spaces of the query's distance to the code's centroid."""
-    rows = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in table])
-    parts = F.zip_with(rows, code, lambda row, k: F.element_at(row, k.cast("int") + 1))
-    return F.aggregate(parts, F.lit(0.0), lambda total, x: total + x)
+    rows = np.asarray(table, np.float64)
+    at = np.arange(len(rows))
+
+    @F.pandas_udf("double")
+    def total(codes: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None else float(rows[at, np.asarray(c)].sum()) for c in codes], dtype="float64")
+
+    return total(code)
 
 
 def query_table(query: list[float], codebook: list[list[list[float]]]) -> list[list[float]]:

@@ -19,13 +19,16 @@ def vanished(state: DataFrame, listing: DataFrame, roots: list[str] | None = Non
     return own.select("path").join(listing.select("path"), "path", "left_anti")
 
 
-def upsert(old: DataFrame, new: DataFrame, keep: tuple[str, ...] = ("id", "marked", "embedding"), strict: bool = False) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, keep: tuple[str, ...] = ("id", "marked", "embedding"), strict: bool = False, order: str | None = None) -> DataFrame:
     """``old`` with the rows of ``new`` in place of those of the same path.
 
     The columns in ``keep`` survive in a replaced row, unless ``strict``: then they are null,
-    and ``marked`` false. Of a path that ``new`` has twice, one row stays.
+    and ``marked`` false. Of a path that ``new`` has twice the last row stays, in the order of its column
+    ``order``, or else as the rows come.
     """
-    new = new.dropDuplicates(["path"])
+    at = F.col(order) if order else F.monotonically_increasing_id()
+    last = new.select("path", F.struct(*new.columns).alias("_row"), at.alias("_at")).groupBy("path").agg(F.max_by("_row", "_at").alias("_row"))
+    new = last.select("_row.*")
     kept = [c for c in keep if c in old.columns]
     rest = old.join(new.select("path"), "path", "left_anti")
     if strict:

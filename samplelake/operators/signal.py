@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,3 +169,41 @@ def normalise_peak(values: Column, level_db: float = -1.0) -> Column:
 
 def window(frames: DataFrame, center: int, radius: int) -> DataFrame:
     return frames.filter(F.col("frame").between(center - radius, center + radius))
+
+
+def preprocess(frames: np.ndarray | None, rate: int, width: int, silence_db: float = -60.0, peak_db: float = -1.0) -> np.ndarray | None:
+    """A signal as an encoder takes it: the mean of the channels of ``frames`` (n, channels)
+    in -1 to 1, without silence at its ends, centred in ``width`` samples or filled up with
+    zeros, at its peak level. None for an unreadable or silent signal; a rate other than
+    48 kHz raises ValueError, since nothing here resamples."""
+    if rate != 48_000:
+        raise ValueError(f"a signal of {rate} Hz must be resampled to 48000 Hz first")
+    if frames is None or not len(frames):
+        return None
+    mono = np.asarray(frames, np.float64).reshape(len(frames), -1).mean(1)
+    loud = np.flatnonzero(np.abs(mono) > 10 ** (silence_db / 20))
+    if not len(loud):
+        return None
+    mono = mono[loud[0] : loud[-1] + 1]
+    extra = len(mono) - width
+    mono = mono[extra // 2 : extra // 2 + width] if extra >= 0 else np.pad(mono, (0, -extra))
+    most = np.abs(mono).max()
+    return (mono * (10 ** (peak_db / 20) / most) if most > 0 else mono).astype(np.float32)
+
+
+def preprocess_files(files: DataFrame, decode: Callable[[bytes], tuple[np.ndarray | None, int]], width: int) -> DataFrame:
+    """(path, signal, error) of files (path, content), each by itself; ``decode`` gives a
+    file's frames and rate. What can't be read, is silent or has another rate has no signal."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"]):
+                try:
+                    signal, error = preprocess(*decode(bytes(content)), width), None
+                except Exception as raised:  # noqa: BLE001  a broken file is reported, and the run goes on
+                    signal, error = None, f"{type(raised).__name__}: {raised}"
+                rows.append((path, signal, error))
+            yield pd.DataFrame(rows, columns=["path", "signal", "error"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, signal array<float>, error string")

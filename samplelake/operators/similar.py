@@ -21,14 +21,17 @@ def _literal(vec: list[float]):
     return F.array(*[F.lit(float(x)) for x in vec])
 
 
-def similar(vectors: DataFrame, subject: int, limit: int = 50) -> DataFrame:
+def similar(vectors: DataFrame, subject: int, limit: int = 50, max_exact: int | None = None) -> DataFrame:
     """(id, path, dist, sim): the subject, then the ``limit`` - 1 nearest others (ties by id).
 
     ``sim`` is relative to the furthest row returned. Each task keeps its own nearest rows,
-    so nothing is shuffled but these.
+    so nothing is shuffled but these. With ``max_exact``, more vectors than that raise
+    ValueError: codes are meant for them.
     """
     if limit < 1:
         raise ValueError("limit must be 1 or more")
+    if max_exact is not None and (n := vectors.count()) > max_exact:
+        raise ValueError(f"{n} vectors are too many for an exact search of at most {max_exact}")
     path, vec = _subject(vectors, subject)
     own = vectors.sparkSession.createDataFrame([(subject, path, 0.0, 1.0)], "id long, path string, dist double, sim double")
     if limit == 1 or not vec:
@@ -68,6 +71,41 @@ def unpack_codebook(raw: bytes, m: int = 128, k: int = 256, width: int = 4) -> n
     return np.frombuffer(raw, "<f4").reshape(m, k, width)
 
 
+def save_codebook(spark, codebook: list, folder: str) -> int:
+    """Writes the codebook as the next version of ``folder`` and returns its number. Readers
+    take the highest version that is complete, so a half-written one is never seen."""
+    version = max([0, *codebook_versions(spark, folder)]) + 1
+    rows = spark.createDataFrame([(version, bytearray(pack_codebook(codebook)))], "version int, codebook binary")
+    rows.coalesce(1).write.parquet(f"{folder}/version={version}")
+    return version
+
+
+def codebook_versions(spark, folder: str) -> list[int]:
+    """The complete versions in ``folder``; a malformed version raises ValueError."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    out = []
+    for entry in files.listStatus(path):
+        name = entry.getPath().getName()
+        if name.startswith("version="):
+            if not name[8:].isdigit():
+                raise ValueError(f"{name} is no version")
+            if files.exists(spark._jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")):
+                out.append(int(name[8:]))
+    return sorted(out)
+
+
+def load_codebook(spark, folder: str, m: int = 128, k: int = 256, width: int = 4) -> tuple[int, np.ndarray]:
+    """The highest version and its codebook; ValueError if there is none."""
+    versions = codebook_versions(spark, folder)
+    if not versions:
+        raise ValueError(f"no codebook in {folder}")
+    row = spark.read.parquet(f"{folder}/version={versions[-1]}").select("codebook").first()
+    return versions[-1], unpack_codebook(bytes(row["codebook"]), m, k, width)
+
+
 def pack_embedding(vec: list[float], dim: int = 512) -> bytes:
     if len(vec) != dim:
         raise ValueError(f"an embedding has {dim} numbers, not {len(vec)}")

@@ -61,23 +61,28 @@ class Sample:
             raise AttributeError(f"{name} can't be set")
 
 
-def run_script(samples: DataFrame, script: Callable[[Sample], None]) -> DataFrame:
-    """The rows as the script leaves them; a row where it raises stays as it was."""
-    columns = samples.columns
+def run_script(samples: DataFrame, script: Callable[[Sample], None], error: str | None = None) -> DataFrame:
+    """The rows as the script leaves them; a row where it raises stays as it was. ``error``
+    names a column that is added for what went wrong, null elsewhere."""
+    columns = samples.columns + ([error] if error else [])
+    schema = samples.schema.simpleString()[7:-1]
+    schema += f",{error}:string" if error else ""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for row in frame.astype(object).where(frame.notna(), None).to_dict("records"):
-                new = dict(row)
+                new, wrong = dict(row), None
                 try:
                     script(Sample(new))
-                except Exception:  # noqa: BLE001  a script's error skips its row
-                    new = row
+                except Exception as raised:  # noqa: BLE001  a script's error skips its row
+                    new, wrong = dict(row), f"{type(raised).__name__}: {raised}"
+                if error:
+                    new[error] = wrong
                 rows.append(new)
             yield pd.DataFrame(rows, columns=columns)
 
-    return samples.mapInPandas(run, samples.schema)
+    return samples.mapInPandas(run, schema)
 
 
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -56,7 +56,6 @@ def s11(v):
 
 @query("s17_full_scan", "SELECT id, path, vendor, mtime FROM samples")
 @query("f01_match_all", "SELECT id, path, vendor, mtime FROM samples")
-@query("t01_path_order", "SELECT id, path, vendor, mtime FROM samples")
 def s17(v):
     return se.search(v.samples, SearchQuery()).select("id", "path", "vendor", "mtime")
 
@@ -165,7 +164,6 @@ def f09(v):
 
 @query("f10_free_text_names", f"SELECT id, path FROM samples WHERE {any_has(FREE.replace('path', 'name'), 'ring_1')}")
 @query("j04_semi_join_search", f"SELECT id, path FROM samples WHERE {any_has(FREE.replace('path', 'name'), 'ring_1')}")
-@query("t02_text_order", f"SELECT id, path FROM samples WHERE {any_has(FREE.replace('path', 'name'), 'ring_1')}")
 def f10(v):
     return se.search(v.samples, SearchQuery(free_text="ring_1", scope="name")).select("id", "path")
 
@@ -278,13 +276,21 @@ for _name, _sql in KEYS.items():
     for _down in (False, True):
         _order = f"{_sql} {'DESC NULLS FIRST' if _down else 'ASC NULLS LAST'}, path"
 
-        @query(f"t04_sort_{_name}_{'desc' if _down else 'asc'}", f"SELECT id, row_number() OVER (ORDER BY {_order}) AS place FROM samples ORDER BY place LIMIT 200")
+        @query(f"t04_sort_{_name}_{'desc' if _down else 'asc'}", f"SELECT id, row_number() OVER (ORDER BY {_order}) AS place FROM samples")
         def t04(v, name=_name, down=_down):
-            first = se.sort_by(v.samples, name, down).limit(200).select("id", se.sort_key(name).alias("k"), "path")
-            from pyspark.sql import Window
-
             order = F.col("k").desc_nulls_first() if down else F.col("k").asc_nulls_last()
-            return first.select("id", F.row_number().over(Window.orderBy(order, "path")).cast("long").alias("place"))  # 200 rows
+            return st.ranked(v.samples.select("id", se.sort_key(name).alias("k"), "path"), [order, F.col("path")]).select("id", "place")
+
+
+@query("t01_path_order", "SELECT id, row_number() OVER (ORDER BY path) AS place FROM samples")
+def t01(v):
+    return st.ranked(se.search(v.samples, SearchQuery()).select("id", "path"), [F.col("path")]).select("id", "place")
+
+
+@query("t02_text_order", f"SELECT id, row_number() OVER (ORDER BY path) AS place FROM samples WHERE {any_has(FREE.replace('path', 'name'), 'ring_1')}")
+def t02(v):
+    found = se.search(v.samples, SearchQuery(free_text="ring_1", scope="name"))
+    return st.ranked(found.select("id", "path"), [F.col("path")]).select("id", "place")
 
 
 @query("t06_shuffle")
@@ -303,9 +309,9 @@ GRAMS = "SELECT id, unnest(list_transform(range(1, length(d) - 1), lambda i: sub
 @query("t03_relevance", f"""WITH g AS ({GRAMS}), f AS (SELECT id, gram, count(*) AS tf FROM g GROUP BY id, gram), l AS (SELECT id, count(*) AS len FROM g GROUP BY id),
  q AS (SELECT unnest(['rin', 'ing']) AS gram), d AS (SELECT gram, count(*) AS df FROM f JOIN q USING (gram) GROUP BY gram), n AS (SELECT count(*) AS n, avg(len) AS mean FROM l)
  SELECT id, round(sum(ln(1 + (n - df + 0.5e0) / (df + 0.5e0)) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * len / mean))), 6) AS score
- FROM f JOIN d USING (gram) JOIN l USING (id), n GROUP BY id ORDER BY score DESC, id LIMIT 20""")
+ FROM f JOIN d USING (gram) JOIN l USING (id), n GROUP BY id """)
 def t03(v):
-    return st.relevance(v.samples, "description", "ring").limit(20)
+    return st.relevance(v.samples, "description", "ring")
 
 
 @query("u01_root_union", "SELECT DISTINCT path FROM (SELECT path FROM state UNION ALL SELECT path FROM listing)")

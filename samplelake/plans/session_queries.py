@@ -8,18 +8,35 @@ from ..streaming import fsm
 from ..streaming.incremental import results
 from .registry import query
 
+#: Each machine's inputs; after a colon, what their payload is.
 INPUTS = {
-    "search": "QueryChanged DebounceTick SearchStarted SearchSettled EnterSimilarityMode ExitSimilarityMode QueryCleared".split(),
-    "playback": "Play Pause Resume Stop Restart ToggleLoop ProgramEnded ConsumeRestart".split(),
-    "marker": "SelectNext IncrementRep ToggleBank ToggleBankSync ToggleMarkerDisplay ToggleInfiniteLoop SelectPrev".split(),
+    "search": "QueryChanged:text QueryCleared DebounceTick SearchStarted SearchSettled SearchCancelled SearchFailed FireSelection EnterSimilarityMode ExitSimilarityMode".split(),
+    "playback": "Play Pause Resume Stop Seek:number Restart ToggleReverse ToggleLoop SetReverse:flag SetLoop:flag ProgramEnded ConsumeSeek ConsumeRestart".split(),
+    "marker": (
+        "SetMarker1:number SetMarker2:number SetMarker3:number SetSelectedMarker:number SelectNext SelectPrev ToggleBank ToggleBankSync ClearNearest:number ClearBank NudgeForward:number "
+        "NudgeBackward:number MarkerReset:range IncrementRep DecrementRep ToggleInfiniteLoop ToggleMarkerDisplay ExportMarkers:text ImportMarkers:text LoadConfig:banks"
+    ).split(),
 }
 
 
+def _payload(kind: str):
+    """The event's payload as JSON, from its number."""
+    number = F.col("event_id") * 37 % 5000
+    bank = F.format_string('{"marks": [%d, 4294967295, 900], "reps": [0, 1, 15, %d]}', number, number % 16)
+    kinds = {
+        "text": F.format_string('"word %d"', number), "number": number.cast("string"), "flag": F.when(number % 2 == 0, "true").otherwise("false"),
+        "range": F.format_string("[%d, %d]", number, number + 4000), "banks": F.format_string('{"A": %s, "B": %s}', bank, bank),
+    }
+    return kinds[kind] if kind else F.lit(None).cast("string")
+
+
 def _events(v, machine: str):
-    names = F.array(*[F.lit(n) for n in INPUTS[machine]])
-    return v.table("events").select(
-        F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), F.element_at(names, (F.col("event_id") % len(INPUTS[machine]) + 1).cast("int")).alias("input"), F.lit(None).cast("string").alias("payload")
-    )
+    inputs = [x.partition(":") for x in INPUTS[machine]]
+    which = (F.xxhash64("event_id") % len(inputs) + len(inputs)) % len(inputs)
+    name, payload = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (x, _, kind) in enumerate(inputs):
+        name, payload = F.when(which == i, x).otherwise(name), F.when(which == i, _payload(kind)).otherwise(payload)
+    return v.table("events").select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), name.alias("input"), payload.alias("payload"))
 
 
 @query("e04_search_machine")

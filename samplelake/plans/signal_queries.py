@@ -53,12 +53,12 @@ def c32(v):
 
 
 @query("a14_pyramid", f"""WITH n AS (SELECT path, max(frame) + 1 AS n FROM frames GROUP BY path),
- k AS (SELECT path, l AS level, greatest(greatest(n // 12, 1) // CAST(pow(2, l) AS BIGINT), 1) AS k, CAST(12 * pow(2, l) AS BIGINT) AS wide FROM n, (VALUES (0), (1), (2)) x(l)),
+ k AS (SELECT path, l AS level, greatest(greatest(n // 180, 1) // CAST(pow(2, l) AS BIGINT), 1) AS k, CAST(180 * pow(2, l) AS BIGINT) AS wide FROM n, (VALUES (0), (1), (2)) x(l)),
  g AS (SELECT f.path, level, frame // k AS col, max({BYTE}) AS p FROM frames f JOIN k ON f.path = k.path WHERE frame // k < wide GROUP BY 1, 2, 3),
  e AS (SELECT path, level, unnest(range(wide)) AS col FROM k)
  SELECT e.path, e.level, e.col, coalesce(p, 0) AS p FROM e LEFT JOIN g ON e.path = g.path AND e.level = g.level AND e.col = g.col""")
 def a14(v):
-    return sg.pyramid(v.frames.withColumn("s", F.col("s") * 200), 3, 12)
+    return sg.pyramid(v.frames.withColumn("s", F.col("s") * 200), 3, 180)
 
 
 Z = """z AS (SELECT path, frame FROM (SELECT path, frame, s AS a, lead(s) OVER (PARTITION BY path ORDER BY frame) AS b FROM frames)
@@ -104,11 +104,11 @@ def w05(v):
     return sg.nudge(sg.crossings(v.frames), starts(v), 2)
 
 
-LISTS = "l AS (SELECT path, list(s ORDER BY frame) AS x FROM frames WHERE frame < 50 GROUP BY path)"
+LISTS = "l AS (SELECT path, list(s ORDER BY frame) AS x FROM frames GROUP BY path)"
 
 
 def lists(v):
-    pairs = v.frames.filter("frame < 50").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("frame", "s"))).alias("x"))  # 50 frames of a path
+    pairs = v.frames.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("frame", "s"))).alias("x"))  # a window function needs a signal whole
     return pairs.select("path", F.transform("x", lambda p: p["s"]).alias("x"))
 
 
@@ -168,6 +168,14 @@ def parts(v):
     return v.markers.withColumn("parts", mk.segments(marks(), reps(), F.col("total")))
 
 
+#: The markers in units of 2000 frames, so that all frames of all programs can be listed.
+COARSE = "(SELECT path, total // 2000 AS total, " + ", ".join(f"CASE WHEN m{i} = 4294967295 THEN m{i} ELSE m{i} // 2000 END AS m{i}" for i in (1, 2, 3)) + ", r1, r2, r3, r4, cursor FROM markers)"
+
+
+def coarse(v):
+    return v.markers.select("path", F.floor(F.col("total") / 2000).alias("total"), *[F.when(m == mk.EMPTY, m).otherwise(F.floor(m / 2000)).alias(f"m{i}") for i, m in enumerate(marks(), 1)], *reps())
+
+
 def programs(v):
     return parts(v).select("path", mk.program(F.col("parts"), F.col("total")).alias("program"))
 
@@ -231,10 +239,11 @@ def c42(v):
     return v.markers.select("path", F.round(mk.fade_gain(left, F.col("total"), False), 9).alias("out"), F.round(mk.fade_gain(left, F.col("total"), True), 9).alias("rising"))
 
 
-@query("c43_program_frames", f"""WITH {PROGRAM}, t AS (SELECT *, unnest(range(1, CASE WHEN reps = 255 THEN 1 ELSE reps END + 1)) AS rep FROM pl WHERE lo < hi), s AS (SELECT *, unnest(range(least(hi - lo, 8))) AS pos FROM t)
+@query("c43_program_frames", f"""WITH {PROGRAM.replace('FROM markers', 'FROM ' + COARSE)}, t AS (SELECT *, unnest(range(1, CASE WHEN reps = 255 THEN 1 ELSE reps END + 1)) AS rep FROM pl WHERE lo < hi), s AS (SELECT *, unnest(range(hi - lo)) AS pos FROM t)
  SELECT path, slot, rep, pos, CASE WHEN reversed THEN hi - 1 - pos ELSE lo + pos END AS frame FROM s""")
 def c43(v):
-    return mk.program_frames(programs(v), 8)
+    every = coarse(v).withColumn("parts", mk.segments(marks(), reps(), F.col("total")))
+    return mk.program_frames(every.select("path", mk.program(F.col("parts"), F.col("total")).alias("program")))
 
 
 @query("t12_nearest_marker", """SELECT path, arg_min(slot, d * 10 + slot) AS slot FROM (SELECT path, 1 AS slot, m1 AS m, abs(m1 - cursor) AS d FROM markers UNION ALL SELECT path, 2, m2, abs(m2 - cursor) FROM markers

@@ -5,14 +5,14 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as ve
 from ..operators import similar as si
+from ..operators import stats as st
 from .registry import query
 
-SUBJECT, PARTS, CENTROIDS, WIDTH = 7, 16, 16, 4
+SUBJECT, PARTS, CENTROIDS, WIDTH = 7, 16, 256, 4
 
 D = "sqrt(list_sum(list_transform(list_zip(v.vec, q.vec), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)))))"
 ALL = f"SELECT v.id, v.path, {D} AS dist FROM vectors v, (SELECT vec FROM vectors WHERE id = {SUBJECT}) q"
@@ -67,12 +67,11 @@ def j05(v):
     return si.attach(v.vectors, si.similar(v.vectors, SUBJECT, 10)).select("id", F.round("sim", 6).alias("sim"))
 
 
-@query("t05_similarity_sort", f"{TOP} SELECT v.id, row_number() OVER (ORDER BY v.id = {SUBJECT} DESC, round(r.sim, 6) DESC NULLS LAST, v.id) AS place FROM vectors v LEFT JOIN r ON v.path = r.path ORDER BY place LIMIT 30")
+@query("t05_similarity_sort", f"{TOP} SELECT v.id, row_number() OVER (ORDER BY v.id = {SUBJECT} DESC, round(r.sim, 6) DESC NULLS LAST, v.id) AS place FROM vectors v LEFT JOIN r ON v.path = r.path")
 def t05(v):
     scores = si.similar(v.vectors, SUBJECT, 10).withColumn("sim", F.round("sim", 6))
-    first = si.similarity_order(si.attach(v.vectors, scores), f"/vec/{SUBJECT}", "id").limit(30)
-    order = Window.orderBy((F.col("id") == SUBJECT).desc(), F.col("sim").desc_nulls_last(), "id")
-    return first.select("id", F.row_number().over(order).cast("long").alias("place"))  # 30 rows
+    order = [(F.col("id") == SUBJECT).desc(), F.col("sim").desc_nulls_last(), F.col("id")]
+    return st.ranked(si.attach(v.vectors, scores).select("id", "sim"), order).select("id", "place")
 
 
 @query("c17_encode", f"WITH {CODES} SELECT id, m, k FROM code")
