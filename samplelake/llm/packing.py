@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 from collections.abc import Iterator
 from typing import ClassVar
@@ -21,7 +20,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 #: Latin letters that lower-case one by one and are composed, then marks without an
 #: apostrophe, which could begin a contraction.
-SIMPLE = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:;=?@\\[-`{}~]*)")
+SIMPLE = "\\A(?P<stem>[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)(?P<tail>[!-&(-/:;=?@\\[-`{}~]*)\\z"
 
 
 class WordCache:
@@ -29,9 +28,9 @@ class WordCache:
 
     The tokenizer's patterns never match across white space, nor does its normaliser
     compose across it, so a text's ids are its parts' ids in order. A part of Latin letters
-    and a tail of marks is likewise its lower-cased letters' ids and its tail's. What is new
-    goes to the library once while it is kept. Kept parts are in two generations of at most
-    ``room`` bytes: a full one becomes the older, whose parts return when they are met
+    and a tail of marks is likewise its lower-cased letters' ids and its tail's, and these
+    two are kept, not the part. What is new goes to the library once while it is kept. Kept
+    parts are in two generations of at most ``room`` bytes: a full one becomes the older, whose parts return when they are met
     again and are forgotten otherwise. The library stays in the worker, parts until the
     end of a task.
     """
@@ -93,35 +92,33 @@ class WordCache:
     def encode(self, texts: pa.Array) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers.
 
-        Arrow splits the batch and numbers its distinct parts; Python sees each of these
-        once, and numpy puts the ids in order.
+        Arrow splits the batch, numbers its distinct parts, divides these into stems and
+        tails, and puts ids in order; Python sees each distinct stem or tail once.
         """
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        parts = coded.dictionary.to_pylist()
-        found = [self.get(p) if ids is None else ids for p, ids in zip(parts, map(self.young.get, parts))]
-        new = [p for p, ids in zip(parts, found) if ids is None and p]
-        composed = {p: (m[1].lower(), m[2]) for p in new if (m := SIMPLE.fullmatch(p))}
-        pieces = {y: self.get(y) for p in new for y in composed.get(p, (p,)) if y}
-        fresh = self.ask([y for y, ids in pieces.items() if ids is None])
-        pieces.update(fresh)
-        for part, (stem, tail) in composed.items():
-            fresh[part] = pieces[stem] + pieces[tail] if tail else pieces[stem]
+        parts = coded.dictionary
+        cut = pc.extract_regex(parts, SIMPLE)
+        simple = cut.is_valid()
+        stems = pc.if_else(simple, pc.utf8_lower(pc.struct_field(cut, "stem")), parts)
+        tails = pc.if_else(simple, pc.struct_field(cut, "tail"), pa.scalar("", parts.type))
+        pieces = pa.concat_arrays([stems, tails]).dictionary_encode()
+        names = pieces.dictionary.to_pylist()
+        found = [self.get(p) if ids is None else ids for p, ids in zip(names, map(self.young.get, names))]
+        fresh = self.ask([p for p, ids in zip(names, found) if ids is None and p])
+        for piece, ids in fresh.items():
+            self.keep(piece, ids)
         fresh[""] = b""
-        found = [fresh[p] if ids is None else ids for p, ids in zip(parts, found)]
-        for part, ids in fresh.items():
-            self.keep(part, ids)
-
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        codes = coded.indices.to_numpy()
-        begins = np.cumsum(sizes) - sizes
-        own = sizes[codes]
-        ends = np.cumsum(own)
-        places = np.repeat(begins[codes] - (ends - own), own) + np.arange(int(ends[-1]) if len(ends) else 0)
-        ids = np.frombuffer(b"".join(found), "<u4")[places].tobytes()
-        bounds = 4 * np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
-        for i in range(len(texts)):
-            yield ids[bounds[i] : bounds[i + 1]]
+        found = [fresh[p] if ids is None else ids for p, ids in zip(names, found)]
+
+        own = pa.array(found, pa.large_binary()).take(pieces.indices)
+        whole = pc.binary_join_element_wise(own[: len(parts)], own[len(parts) :], pa.scalar(b"", pa.large_binary()))
+        words = whole.take(coded.indices)
+        ends = np.cumsum(pc.binary_length(words).to_numpy())
+        ids = memoryview(words.buffers()[2] or b"")
+        bounds = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        for a, b in zip(bounds, bounds[1:]):
+            yield bytes(ids[a:b])
 
 
 def differencing(sizes: list[int], ways: int) -> list[list[int]]:
