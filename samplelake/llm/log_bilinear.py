@@ -6,32 +6,57 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ODD_SPACE, bounded_batches, fold, staged, text_or_empty
+from .common import bounded_batches, fold, staged, text_or_empty
 
 #: The token after a text's last word. No word is this, for words have no white space.
 END = "\n"
-LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+class Tokens:
+    """The tokens of a batch of texts, each distinct one once. Words are in lower case (A-Z
+    only) and stand between ASCII white space; after a text's words comes the end."""
+
+    def __init__(self, texts: pa.Array | list[str]) -> None:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        coded = split.flatten().dictionary_encode()
+        real = pc.not_equal(coded.dictionary, "").to_numpy(zero_copy_only=False)
+        codes = coded.indices.to_numpy()
+        words = real[codes]  # white space at either end of a text leaves an empty part
+        before = np.concatenate([[0], np.cumsum(words)])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        #: Where each text begins, and where the last one ends.
+        self.begins = before + np.arange(len(before))
+        self.codes = np.full(self.begins[-1], len(real), np.int64)
+        inside = np.ones(len(self.codes), bool)
+        inside[self.begins[1:] - 1] = False
+        self.codes[inside] = codes[words]
+        self.distinct = pa.concat_arrays([coded.dictionary, pa.array([END], coded.dictionary.type)])
+        self.names = self.distinct.to_pylist()
+
+    def __getitem__(self, i: int) -> list[str]:
+        """The tokens of one text."""
+        return [self.names[c] for c in self.codes[self.begins[i] : self.begins[i + 1]]]
+
+    def counted(self) -> Iterator[tuple[str, int]]:
+        """The distinct tokens that occur, and how often."""
+        return ((w, c) for w, c in zip(self.names, np.bincount(self.codes, minlength=len(self.names)).tolist()) if c)
+
+    def those(self, chosen: np.ndarray) -> pa.ListArray:
+        """Each text's tokens at the chosen positions."""
+        ends = np.concatenate([[0], np.cumsum(chosen)])[self.begins]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), self.distinct.take(pa.array(self.codes[chosen])))
 
 
 def tokens_of(text: str) -> list[str]:
-    """Words in lower case (A-Z only), then the end."""
-    low = text.lower() if text.isascii() else text.translate(LOWER)
-    if ODD_SPACE.search(low):
-        for odd in set(low):
-            if odd in "\t\n\x0b\x0c\r":
-                low = low.replace(odd, " ")
-        words = [w for w in low.split(" ") if w]
-    else:
-        words = low.split()
-    words.append(END)
-    return words
+    """One text's tokens."""
+    return Tokens([text])[0]
 
 
 class Model:
@@ -132,10 +157,10 @@ def token_counts(docs: DataFrame, held_entries: int = 400_000) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, names=["token", "c"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.update(tokens_of(text))
-                if len(held) > held_entries:
-                    yield out()
+            for token, c in Tokens(batch.column(0)).counted():
+                held[token] += c
+            if len(held) > held_entries:
+                yield out()
         yield out()
 
     return docs.filter("NOT held_out").select("text").mapInArrow(run, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
@@ -163,12 +188,10 @@ class Entries:
         """The class of a token's column."""
         return F.pmod(F.crc32(F.expr(f"right({token}, {self.ending})").cast("binary")), F.lit(self.classes)).cast("int")
 
-    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-        """All texts' entries one after another, where each text begins, and the tokens."""
-        split = [tokens_of(t) for t in texts]
+    def numbers(self, tokens: Tokens) -> np.ndarray:
+        """The entry of each token, in order."""
         get, of = self.index.get, self.of
-        flat = [i if (i := get(w)) is not None else of(w) for s in split for w in s]
-        return np.array(flat, np.int32), np.cumsum([0, *map(len, split)]), split
+        return np.array([i if (i := get(w)) is not None else of(w) for w in tokens.names], np.int32)[tokens.codes]
 
 
 def contexts(flat: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -196,8 +219,9 @@ def train(docs: DataFrame, entries: Entries, counts: np.ndarray, width: int, rou
             own.load(start)
             rng = np.random.default_rng(11 + turn)
             for some in batches:
-                flat, begins, _ = entries.numbers(some.column(0).to_pylist())
-                before = contexts(flat, begins)
+                tokens = Tokens(some.column(0))
+                flat = entries.numbers(tokens)
+                before = contexts(flat, tokens.begins)
                 order = rng.permutation(len(flat))
                 for i in range(0, len(order), batch):
                     at = order[i : i + batch]
@@ -244,20 +268,21 @@ class Scorer:
     class_totals: np.ndarray
     base_total: float
 
-    def logs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[str]], np.ndarray, np.ndarray]:
+    def logs(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray, Tokens, np.ndarray, np.ndarray]:
         """Where texts begin; whether a token is known here; tokens; log10 of the model and of
         the unigrams, to which log10(c + 1) of a token that is not known here is to be added."""
         first, second, bias, total = self.tables
-        flat, begins, split = self.entries.numbers(texts)
-        before = contexts(flat, begins)
+        tokens = Tokens(texts)
+        flat = self.entries.numbers(tokens)
+        before = contexts(flat, tokens.begins)
         logs = first[before[:, 0], flat] + second[before[:, 1], flat] + bias[flat] - total[before[:, 0], before[:, 1]]
         logs = logs.astype(np.float64) / float(np.log(10))
-        counts = np.fromiter((c for s in split for c in map(self.known.get, s, repeat(0))), np.float64, len(flat))
-        sizes = np.log10(counts + 1)
+        counts = np.array([self.known.get(w, 0) for w in tokens.names], np.float64)
+        sizes, seen = np.log10(counts + 1)[tokens.codes], (counts > 0)[tokens.codes]
         words = self.entries.words
         inside = flat < words
         logs += np.where(inside, 0.0, sizes - self.class_totals[np.where(inside, 0, flat - words)])
-        return begins, counts > 0, split, logs, sizes - self.base_total
+        return tokens.begins, seen, tokens, logs, sizes - self.base_total
 
 
 def fitted(docs: DataFrame, counts: DataFrame, n: int, v: int, vocabulary_size: int, classes: int, head: int, width: int, rounds: int, rate: float, noises: int, batch: int) -> Scorer:
@@ -318,11 +343,10 @@ def score_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shipped.value
         for some in batches:
-            begins, seen, split, logs, base = scorer.logs(some.column(1).to_pylist())
-            rest = [[w for w, k in zip(s, seen[a : a + len(s)].tolist()) if not k] if not seen[a : a + len(s)].all() else [] for s, a in zip(split, begins)]
+            begins, seen, tokens, logs, base = scorer.logs(some.column(1))
             cuts = begins[:-1]
             sums = [np.add.reduceat(x, cuts) if len(cuts) else x[:0] for x in (seen.astype(np.int64), base, logs)]
-            columns = [some.column(0), some.column(2), pa.array(np.diff(begins)), *map(pa.array, sums), pa.array(rest, pa.list_(pa.string()))]
+            columns = [some.column(0), some.column(2), pa.array(np.diff(begins)), *map(pa.array, sums), tokens.those(~seen)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail array<string>"
