@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, template_tree
+from . import centroids, decontaminate, template_tree
 from .compact_windows import repeated_passages
 from .compression_quality import score_quality
 from .line_cleaning import clean_documents
@@ -82,5 +82,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir))
 
 
+@_query
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 ORACLES["op1_decontamination"] = decontaminate.ORACLE
 ORACLES["op7_template_lines"] = template_tree.ORACLE
+ORACLES["op11_centroids"] = centroids.ORACLE
