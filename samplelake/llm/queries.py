@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, decontaminate, template_tree
+from . import centroids, decontaminate, secrets, template_tree
 from .compact_windows import repeated_passages
 from .compression_quality import score_quality
 from .line_cleaning import clean_documents
@@ -87,6 +87,12 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+@_query
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report_secrets(_documents(spark, sf_dir))
+
+
 ORACLES["op1_decontamination"] = decontaminate.ORACLE
 ORACLES["op7_template_lines"] = template_tree.ORACLE
 ORACLES["op11_centroids"] = centroids.ORACLE
+ORACLES["op12_secrets"] = secrets.ORACLE
