@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import centroids, decontaminate, secrets, template_tree
 from .compact_windows import repeated_passages
 from .compression_quality import score_quality
+from .conversations import audit_conversations, damage
 from .line_cleaning import clean_documents
 from .log_bilinear import score_texts
 from .order_minhash import near_duplicates
@@ -92,6 +93,11 @@ def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report_secrets(_documents(spark, sf_dir))
 
 
+@_query
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_conversations(damage(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 ORACLES["op1_decontamination"] = decontaminate.ORACLE
 ORACLES["op7_template_lines"] = template_tree.ORACLE
 ORACLES["op11_centroids"] = centroids.ORACLE
