@@ -58,15 +58,25 @@ def program(parts: Column, total: Column) -> Column:
     return F.when(silent, whole).otherwise(F.filter(ranges, lambda r: r["lo"] < r["hi"]))
 
 
-def program_frames(programs: DataFrame) -> DataFrame:
-    """(path, slot, rep, pos, frame): all frames in playing order; an endless segment
-    plays once, an empty one not at all."""
+def program_runs(programs: DataFrame, run: int = 65_536) -> DataFrame:
+    """(path, slot, rep, pos, frame, step, n): all frames in playing order, as runs of up to
+    ``run`` that begin at ``frame`` and go up or down; an endless segment plays once, an
+    empty one not at all."""
     slots = programs.select("path", F.posexplode("program").alias("slot", "r"))
     reps = F.when(F.col("r.reps") == 255, 1).otherwise(F.col("r.reps"))
-    turns = slots.select("path", "slot", "r", F.explode(F.sequence(F.lit(1), reps)).alias("rep"))
     length = F.col("r.hi") - F.col("r.lo")
-    steps = turns.filter(length > 0).select("path", "slot", "rep", "r", F.explode(F.sequence(F.lit(0).cast("long"), length - 1)).alias("pos"))
-    return steps.select("path", "slot", "rep", "pos", F.when(F.col("r.reversed"), F.col("r.hi") - 1 - F.col("pos")).otherwise(F.col("r.lo") + F.col("pos")).alias("frame"))
+    turns = slots.filter(length > 0).select("path", "slot", "r", F.explode(F.sequence(F.lit(1), reps)).alias("rep"))
+    cut = turns.select("path", "slot", "rep", "r", length.alias("length"), F.explode(F.sequence(F.lit(0).cast("long"), length - 1, F.lit(run).cast("long"))).alias("pos"))
+    begin = F.when(F.col("r.reversed"), F.col("r.hi") - 1 - F.col("pos")).otherwise(F.col("r.lo") + F.col("pos"))
+    return cut.select("path", "slot", "rep", "pos", begin.alias("frame"), F.when(F.col("r.reversed"), -1).otherwise(1).alias("step"), F.least(F.lit(run), F.col("length") - F.col("pos")).alias("n"))
+
+
+def program_frames(programs: DataFrame, run: int = 65_536) -> DataFrame:
+    """(path, slot, rep, pos, frame): each frame in playing order. The runs are dealt out
+    before they are written out, so that a long program is many tasks."""
+    runs = program_runs(programs, run).repartition("path", "slot", "rep", "pos")
+    steps = runs.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("i"))
+    return steps.select("path", "slot", "rep", (F.col("pos") + F.col("i")).alias("pos"), (F.col("frame") + F.col("step") * F.col("i")).alias("frame"))
 
 
 def segment_at(parts: Column, position: Column) -> Column:

@@ -80,58 +80,136 @@ def block_peaks(frames: DataFrame, block: int) -> DataFrame:
     return frames.groupBy("path", F.floor(F.col("frame") / block).alias("block")).agg(F.max(amplitude_byte(F.col("s"))).alias("p"))
 
 
-def pyramid(frames: DataFrame, levels: int = 3, columns: int = BINS) -> DataFrame:
+def level_sizes(columns: int, levels: int) -> Column:
+    """Frames of a column at each level: max(k0 >> L, 1), k0 = max(n / columns, 1)."""
+    first = F.greatest(F.floor(F.col("n") / columns), F.lit(1)).cast("long")
+    return F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda i: F.greatest(F.floor(first / F.pow(F.lit(2), i)).cast("long"), F.lit(1)))
+
+
+def pyramid(frames: DataFrame, levels: int = 13, columns: int = BINS) -> DataFrame:
     """(path, level, col, p): level L has columns * 2^L columns of max(k0 >> L, 1) frames,
-    k0 = frames / columns; those past the end are 0. Each is computed exactly."""
-    n = frames.groupBy("path").agg((F.max("frame") + 1).alias("n"))
-    first = F.greatest(F.floor(F.col("n") / columns), F.lit(1))
-    spans = n.select("path", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level"), first.alias("k0"))
-    spans = spans.withColumn("k", F.greatest(F.floor(F.col("k0") / F.pow(F.lit(2), F.col("level"))), F.lit(1)).cast("long"))
-    wide = (F.lit(columns) * F.pow(F.lit(2), F.col("level"))).cast("long")
-    own = frames.join(spans, "path").withColumn("col", F.floor(F.col("frame") / F.col("k"))).filter(F.col("col") < wide)
-    found = own.groupBy("path", "level", "col").agg(F.max(amplitude_byte(F.col("s"))).alias("p"))
-    every = spans.select("path", "level", F.explode(F.sequence(F.lit(0).cast("long"), wide - 1)).alias("col"))
-    return every.join(found, ["path", "level", "col"], "left").withColumn("p", F.coalesce("p", F.lit(0)))
-
-
-def crossings(frames: DataFrame, threshold: int = 64) -> DataFrame:
-    """(path, frame) where the sign changes to the next frame (0 counts as positive) and one
-    of the two is ``threshold`` or more in size."""
-    ahead = F.lead("s").over(Window.partitionBy("path").orderBy("frame"))
-    both = frames.select("path", "frame", F.col("s").alias("a"), ahead.alias("b")).filter("b IS NOT NULL")
-    return both.filter(((F.col("a") >= 0) != (F.col("b") >= 0)) & (F.greatest(F.abs("a"), F.abs("b")) >= threshold)).select("path", "frame")
-
-
-def nearest(crossed: DataFrame, starts: DataFrame) -> DataFrame:
-    """(path, ahead, back): the first crossing from ``start`` on, the last one up to it."""
-    joined = starts.join(crossed, "path", "left")
-    here = F.col("frame")
-    return joined.groupBy("path", "start").agg(F.min(F.when(here >= F.col("start"), here)).alias("ahead"), F.max(F.when(here <= F.col("start"), here)).alias("back"))
-
-
-def nth(crossed: DataFrame, starts: DataFrame, n: int, forward: bool = True) -> DataFrame:
-    """(path, start, frame): the nth crossing from ``start``, or the last found if fewer;
-    n = 0 gives none."""
-    side = F.col("frame") >= F.col("start") if forward else F.col("frame") <= F.col("start")
-    order = F.col("frame") if forward else F.col("frame").desc()
-    numbered = starts.join(crossed, "path").filter(side).withColumn("rn", F.row_number().over(Window.partitionBy("path", "start").orderBy(order))).filter(F.col("rn") <= n)
-    best = (F.max if forward else F.min)("frame")
-    return numbered.groupBy("path", "start").agg(best.alias("frame"))
-
-
-def snap(crossed: DataFrame, starts: DataFrame, reach: int = 4096) -> DataFrame:
+    k0 = frames / columns. Columns that hold no frame are 0 and have no row.
+
+    A level whose columns are one or two of the next level's whole ones is merged from the
+    next; the others, where a size is odd, are read from the frames. So frames are reduced
+    once for each odd size, and all levels are exact.
+    """
+    n = frames.groupBy("path").agg((F.max("frame") + 1).alias("n")).withColumn("k", level_sizes(columns, levels))
+    # each level's base: itself where its size isn't a multiple of the next one's
+    own = F.transform("k", lambda x, i: F.when((i == levels - 1) | (x % F.col("k")[i + 1] != 0), i))
+    bases = n.select("path", "k", F.array_compact(own).alias("bases"))
+    spread = frames.join(bases, "path").select("path", "k", "bases", "frame", amplitude_byte(F.col("s")).alias("p"), F.explode("bases").alias("base"))
+    col = F.expr("frame div k[base]")
+    grid = spread.withColumn("col", col).filter(F.col("col") < F.lit(columns) * F.pow(F.lit(2), F.col("base"))).groupBy("path", "base", "col").agg(F.max("p").alias("p"))
+    steps = bases.select("path", "k", F.posexplode("bases").alias("i", "base"), F.col("bases").alias("all"))
+    first = F.when(F.col("i") == 0, F.lit(0)).otherwise(F.expr("all[i - 1]") + 1)
+    steps = steps.select("path", "base", F.transform(F.sequence(first, F.col("base")), lambda level: F.struct(level.alias("level"), F.floor(F.col("k")[level] / F.col("k")[F.col("base")]).alias("of"))).alias("up"))
+    merged = grid.join(steps, ["path", "base"]).select("path", "col", "p", F.explode("up").alias("up")).select("path", F.col("up.level").alias("level"), F.expr("col div up.of").alias("col"), "p")
+    wide = F.lit(columns) * F.pow(F.lit(2), F.col("level"))
+    return merged.filter(F.col("col") < wide).groupBy("path", "level", "col").agg(F.max("p").alias("p"))
+
+
+#: Frames of a block of crossings.
+BLOCK = 65_536
+
+
+def crossing_index(frames: DataFrame, threshold: int = 64, block: int = BLOCK) -> DataFrame:
+    """(path, block, offsets): where, within each block of frames, the sign changes to the
+    next frame (0 counts as positive) and one of the two is ``threshold`` or more in size.
+
+    A block's last frame meets the next block's first one, which is there twice: a halo of
+    one frame, so that a path is as many tasks as it has blocks. Frames have no gaps.
+    """
+    here = F.expr(f"frame div {block}")
+    halo = F.when((F.col("frame") % block == 0) & (F.col("frame") > 0), F.array(here - 1, here)).otherwise(F.array(here))
+    ahead = F.lead("s").over(Window.partitionBy("path", "block").orderBy("frame"))
+    both = frames.select("path", "frame", "s", F.explode(halo).alias("block")).select("path", "block", "frame", F.col("s").alias("a"), ahead.alias("b")).filter("b IS NOT NULL")
+    crossed = both.filter(((F.col("a") >= 0) != (F.col("b") >= 0)) & (F.greatest(F.abs("a"), F.abs("b")) >= threshold))
+    offset = (F.col("frame") - F.col("block") * block).cast("int")
+    return crossed.groupBy("path", "block").agg(F.sort_array(F.collect_list(offset)).alias("offsets"))  # a block's own
+
+
+def crossings(index: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(path, frame) of an index."""
+    return index.select("path", "block", F.explode("offsets").alias("offset")).select("path", (F.col("block") * block + F.col("offset")).alias("frame"))
+
+
+def directory(index: DataFrame) -> DataFrame:
+    """(path, blocks, total): each path's blocks in order, with the crossings before them and
+    their own; an entry for a block, so a path of a billion frames has some 15 000."""
+    counts = index.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("block", F.size("offsets").cast("long").alias("n")))).alias("counts"))
+    entry = F.struct(F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("n"))
+    start = F.struct(F.lit(0).cast("long").alias("total"), F.slice(F.array(entry), F.lit(1), F.lit(0)).alias("blocks"))
+    added = F.aggregate(
+        "counts", start, lambda acc, c: F.struct((acc["total"] + c["n"]).alias("total"), F.array_append(acc["blocks"], F.struct(c["block"].cast("long").alias("block"), acc["total"].alias("before"), c["n"].alias("n"))).alias("blocks"))
+    )
+    return counts.select("path", added.alias("d")).select("path", "d.blocks", "d.total")
+
+
+def counted_below(index: DataFrame, points: DataFrame, at: str, name: str, block: int = BLOCK) -> DataFrame:
+    """``points``, which have their path's ``blocks``, with the number of crossings before
+    the frame ``at``: the directory's, and those of the one block that has it."""
+    placed = points.withColumn("_block", F.expr(f"{at} div {block}"))
+    earlier = F.filter("blocks", lambda b: b["block"] < F.col("_block"))
+    last = F.try_element_at(earlier, F.lit(-1))
+    found = placed.join(index.select("path", F.col("block").alias("_block"), F.col("offsets").alias("_offsets")), ["path", "_block"], "left")
+    within = F.size(F.filter(F.coalesce("_offsets", F.array().cast("array<int>")), lambda o: o < F.col(at) - F.col("_block") * block))
+    return found.withColumn(name, F.coalesce(last["before"] + last["n"], F.lit(0)) + within).drop("_block", "_offsets")
+
+
+def frame_of(index: DataFrame, points: DataFrame, rank: str, name: str, block: int = BLOCK) -> DataFrame:
+    """``points`` with the frame of the crossing numbered ``rank`` (from 1) of its path, null
+    where there is none: the directory tells the one block to read."""
+    holds = F.filter("blocks", lambda b: (b["before"] < F.col(rank)) & (F.col(rank) <= b["before"] + b["n"]))
+    placed = points.withColumn("_at", F.try_element_at(holds, F.lit(1))).withColumn("_block", F.col("_at.block"))
+    found = placed.join(index.select("path", F.col("block").alias("_block"), F.col("offsets").alias("_offsets")), ["path", "_block"], "left")
+    own = F.try_element_at("_offsets", (F.col(rank) - F.col("_at.before")).cast("int"))
+    return found.withColumn(name, F.col("_block") * block + own).drop("_at", "_block", "_offsets")
+
+
+def _points(index: DataFrame, starts: DataFrame) -> DataFrame:
+    none = F.array().cast("array<struct<block:bigint,before:bigint,n:bigint>>")
+    return starts.select("path", "start").distinct().join(directory(index), "path", "left").withColumns({"blocks": F.coalesce("blocks", none), "total": F.coalesce("total", F.lit(0))})
+
+
+def nearest(index: DataFrame, starts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(path, start, ahead, back): the first crossing from ``start`` on, the last one up to it."""
+    points = counted_below(index, _points(index, starts), "start", "below", block).withColumn("next", F.col("below") + 1)
+    found = frame_of(index, points, "next", "ahead", block)
+    # one that begins at the start itself is both; else the last one before is numbered below
+    found = found.withColumn("upto", F.when(F.col("ahead") == F.col("start"), F.col("next")).otherwise(F.col("below")))
+    return frame_of(index, found, "upto", "back", block).select("path", "start", "ahead", "back")
+
+
+def nth(index: DataFrame, starts: DataFrame, n: int, forward: bool = True, reach: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(path, start, frame): the nth crossing from ``start``, or the last found if fewer, of
+    all or of those within ``reach``; n = 0 gives none."""
+    points = _points(index, starts).withColumn("far", F.col("start") + (reach if forward else -reach) if reach is not None else F.lit(None).cast("long"))
+    if forward:
+        points = counted_below(index, points, "start", "low", block)
+        points = counted_below(index, points.withColumn("_end", F.col("far") + 1), "_end", "high", block) if reach is not None else points.withColumn("high", F.col("total"))
+        rank = F.least(F.col("low") + n, F.col("high"))
+    else:
+        points = counted_below(index, points.withColumn("_end", F.col("start") + 1), "_end", "high", block)
+        points = counted_below(index, points, "far", "low", block) if reach is not None else points.withColumn("low", F.lit(0))
+        rank = F.greatest(F.col("high") - n + 1, F.col("low") + 1)
+    wanted = points.filter(F.col("low") < F.col("high")).filter(F.lit(n > 0)).withColumn("rank", rank)
+    return frame_of(index, wanted, "rank", "frame", block).select("path", "start", "frame")
+
+
+def snap(index: DataFrame, starts: DataFrame, reach: int = 4096, block: int = BLOCK) -> DataFrame:
     """(path, start, frame): the crossing next to ``start`` within reach; ties go forward."""
-    away = F.col("frame") - F.col("start")
-    near = starts.join(crossed, "path").filter(F.abs(away) <= reach)
-    return near.groupBy("path", "start").agg(F.min_by("frame", F.struct(F.abs(away), (away < 0).cast("int"))).alias("frame"))
+    found = nearest(index, starts, block)
+    ahead, back = F.col("ahead") - F.col("start"), F.col("start") - F.col("back")
+    best = F.when(back.isNull() | (ahead <= back), F.col("ahead")).otherwise(F.col("back"))
+    return found.select("path", "start", best.alias("frame")).filter(F.abs(F.col("frame") - F.col("start")) <= reach)
 
 
-def nudge(crossed: DataFrame, starts: DataFrame, n: int, forward: bool = True, reach: int = 8192) -> DataFrame:
+def nudge(index: DataFrame, starts: DataFrame, n: int, forward: bool = True, reach: int = 8192, block: int = BLOCK) -> DataFrame:
     """The nth crossing beyond ``start``, which itself doesn't count, within reach."""
-    moved = starts.withColumn("start", F.col("start") + (1 if forward else -1))
-    limit = F.abs(F.col("frame") - F.col("start")) <= reach
-    found = nth(moved.join(crossed, "path").filter(limit).select("path", "frame").distinct(), moved, n, forward)
-    return found.withColumn("start", F.col("start") - (1 if forward else -1))
+    step = 1 if forward else -1
+    found = nth(index, starts.withColumn("start", F.col("start") + step), n, forward, reach, block)
+    return found.withColumn("start", F.col("start") - step)
 
 
 def resample(values: Column, m: int) -> Column:

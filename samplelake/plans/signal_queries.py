@@ -53,12 +53,10 @@ def c32(v):
 
 
 @query("a14_pyramid", f"""WITH n AS (SELECT path, max(frame) + 1 AS n FROM frames GROUP BY path),
- k AS (SELECT path, l AS level, greatest(greatest(n // 180, 1) // CAST(pow(2, l) AS BIGINT), 1) AS k, CAST(180 * pow(2, l) AS BIGINT) AS wide FROM n, (VALUES (0), (1), (2)) x(l)),
- g AS (SELECT f.path, level, frame // k AS col, max({BYTE}) AS p FROM frames f JOIN k ON f.path = k.path WHERE frame // k < wide GROUP BY 1, 2, 3),
- e AS (SELECT path, level, unnest(range(wide)) AS col FROM k)
- SELECT e.path, e.level, e.col, coalesce(p, 0) AS p FROM e LEFT JOIN g ON e.path = g.path AND e.level = g.level AND e.col = g.col""")
+ k AS (SELECT path, l AS level, greatest(greatest(n // 180, 1) // CAST(pow(2, l) AS BIGINT), 1) AS k, CAST(180 * pow(2, l) AS BIGINT) AS wide FROM n, (SELECT CAST(unnest(range(13)) AS INT) AS l) x)
+ SELECT f.path, level, frame // k AS col, max({BYTE}) AS p FROM frames f JOIN k ON f.path = k.path WHERE frame // k < wide GROUP BY 1, 2, 3""")
 def a14(v):
-    return sg.pyramid(v.frames.withColumn("s", F.col("s") * 200), 3, 180)
+    return sg.pyramid(v.frames.withColumn("s", F.col("s") * 200))
 
 
 Z = """z AS (SELECT path, frame FROM (SELECT path, frame, s AS a, lead(s) OVER (PARTITION BY path ORDER BY frame) AS b FROM frames)
@@ -72,36 +70,36 @@ def starts(v):
 
 @query("w01_zero_crossings", f"WITH {Z} SELECT path, frame FROM z")
 def w01(v):
-    return sg.crossings(v.frames)
+    return sg.crossings(sg.crossing_index(v.frames))
 
 
 @query("w02_nearest_crossing", f"WITH {Z}, {STARTS} SELECT st.path, start, min(CASE WHEN frame >= start THEN frame END) AS ahead, max(CASE WHEN frame <= start THEN frame END) AS back FROM st LEFT JOIN z ON st.path = z.path GROUP BY 1, 2")
 def w02(v):
-    return sg.nearest(sg.crossings(v.frames), starts(v))
+    return sg.nearest(sg.crossing_index(v.frames), starts(v))
 
 
 @query("w03_nth_crossing", f"""WITH {Z}, {STARTS}, f AS (SELECT st.path, start, frame, row_number() OVER (PARTITION BY st.path ORDER BY frame) AS rn FROM st JOIN z ON st.path = z.path WHERE frame >= start)
  SELECT path, start, max(frame) AS frame FROM f WHERE rn <= 5 GROUP BY 1, 2""")
 def w03(v):
-    return sg.nth(sg.crossings(v.frames), starts(v), 5)
+    return sg.nth(sg.crossing_index(v.frames), starts(v), 5)
 
 
 @query("w03_nth_crossing_back", f"""WITH {Z}, {STARTS}, f AS (SELECT st.path, start, frame, row_number() OVER (PARTITION BY st.path ORDER BY frame DESC) AS rn FROM st JOIN z ON st.path = z.path WHERE frame <= start)
  SELECT path, start, min(frame) AS frame FROM f WHERE rn <= 5 GROUP BY 1, 2""")
 def w03_back(v):
-    return sg.nth(sg.crossings(v.frames), starts(v), 5, forward=False)
+    return sg.nth(sg.crossing_index(v.frames), starts(v), 5, forward=False)
 
 
 @query("w04_snap", f"""WITH {Z}, {STARTS}, f AS (SELECT st.path, start, frame, row_number() OVER (PARTITION BY st.path ORDER BY abs(frame - start), CASE WHEN frame < start THEN 1 ELSE 0 END) AS rn
  FROM st JOIN z ON st.path = z.path WHERE abs(frame - start) <= 4096) SELECT path, start, frame FROM f WHERE rn = 1""")
 def w04(v):
-    return sg.snap(sg.crossings(v.frames), starts(v))
+    return sg.snap(sg.crossing_index(v.frames), starts(v))
 
 
 @query("w05_nudge", f"""WITH {Z}, {STARTS}, f AS (SELECT st.path, start, frame, row_number() OVER (PARTITION BY st.path ORDER BY frame) AS rn FROM st JOIN z ON st.path = z.path
  WHERE frame >= start + 1 AND frame - start - 1 <= 8192) SELECT path, start, max(frame) AS frame FROM f WHERE rn <= 2 GROUP BY 1, 2""")
 def w05(v):
-    return sg.nudge(sg.crossings(v.frames), starts(v), 2)
+    return sg.nudge(sg.crossing_index(v.frames), starts(v), 2)
 
 
 LISTS = "l AS (SELECT path, list(s ORDER BY frame) AS x FROM frames GROUP BY path)"
@@ -168,14 +166,6 @@ def parts(v):
     return v.markers.withColumn("parts", mk.segments(marks(), reps(), F.col("total")))
 
 
-#: The markers in units of 2000 frames, so that all frames of all programs can be listed.
-COARSE = "(SELECT path, total // 2000 AS total, " + ", ".join(f"CASE WHEN m{i} = 4294967295 THEN m{i} ELSE m{i} // 2000 END AS m{i}" for i in (1, 2, 3)) + ", r1, r2, r3, r4, cursor FROM markers)"
-
-
-def coarse(v):
-    return v.markers.select("path", F.floor(F.col("total") / 2000).alias("total"), *[F.when(m == mk.EMPTY, m).otherwise(F.floor(m / 2000)).alias(f"m{i}") for i, m in enumerate(marks(), 1)], *reps())
-
-
 def programs(v):
     return parts(v).select("path", mk.program(F.col("parts"), F.col("total")).alias("program"))
 
@@ -239,11 +229,10 @@ def c42(v):
     return v.markers.select("path", F.round(mk.fade_gain(left, F.col("total"), False), 9).alias("out"), F.round(mk.fade_gain(left, F.col("total"), True), 9).alias("rising"))
 
 
-@query("c43_program_frames", f"""WITH {PROGRAM.replace('FROM markers', 'FROM ' + COARSE)}, t AS (SELECT *, unnest(range(1, CASE WHEN reps = 255 THEN 1 ELSE reps END + 1)) AS rep FROM pl WHERE lo < hi), s AS (SELECT *, unnest(range(hi - lo)) AS pos FROM t)
- SELECT path, slot, rep, pos, CASE WHEN reversed THEN hi - 1 - pos ELSE lo + pos END AS frame FROM s""")
+@query("c43_program_frames", f"""WITH {PROGRAM}, t AS (SELECT *, unnest(range(1, CASE WHEN reps = 255 THEN 1 ELSE reps END + 1)) AS rep FROM pl WHERE lo < hi), s AS (SELECT *, unnest(range(0, hi - lo, 65536)) AS pos FROM t)
+ SELECT path, slot, rep, pos, CASE WHEN reversed THEN hi - 1 - pos ELSE lo + pos END AS frame, CASE WHEN reversed THEN -1 ELSE 1 END AS step, least(65536, hi - lo - pos) AS n FROM s""")
 def c43(v):
-    every = coarse(v).withColumn("parts", mk.segments(marks(), reps(), F.col("total")))
-    return mk.program_frames(every.select("path", mk.program(F.col("parts"), F.col("total")).alias("program")))
+    return mk.program_runs(programs(v))
 
 
 @query("t12_nearest_marker", """SELECT path, arg_min(slot, d * 10 + slot) AS slot FROM (SELECT path, 1 AS slot, m1 AS m, abs(m1 - cursor) AS d FROM markers UNION ALL SELECT path, 2, m2, abs(m2 - cursor) FROM markers
