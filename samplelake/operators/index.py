@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import stage
 from ..functions import text as tx
+from ..sources.table import Table, Version
 
 
 def to_read(listing: DataFrame, state: DataFrame, force: bool = False) -> DataFrame:
@@ -24,7 +26,7 @@ def upsert(old: DataFrame, new: DataFrame, keep: tuple[str, ...] = ("id", "marke
 
     The columns in ``keep`` survive in a replaced row, unless ``strict``: then they are null,
     and ``marked`` false. Of a path that ``new`` has twice the last row stays, in the order of its column
-    ``order``, or else as the rows come.
+    ``order``, or else as the rows come, which a rerun of a shuffled input may deal otherwise.
     """
     at = F.col(order) if order else F.monotonically_increasing_id()
     last = new.select("path", F.struct(*new.columns).alias("_row"), at.alias("_at")).groupBy("path").agg(F.max_by("_row", "_at").alias("_row"))
@@ -51,6 +53,26 @@ def refresh(state: DataFrame, listing: DataFrame, force: bool = False, roots: li
     return upsert(kept, to_read(listing, state, force))
 
 
+def upsert_table(table: Table, new: DataFrame, **options) -> Version:
+    """:func:`upsert` into a committed table keyed by path: only the buckets of the new
+    rows' paths are read and written."""
+    return table.change(new.select("path"), lambda old: upsert(old, new, **options))
+
+
+def delete_table(table: Table, paths: DataFrame) -> Version:
+    """:func:`delete` from a committed table; only the paths' buckets are read and written."""
+    return table.change(paths.select("path"), lambda old: delete(old, paths))
+
+
+def refresh_table(table: Table, listing: DataFrame, force: bool = False, roots: list[str] | None = None) -> Version:
+    """:func:`refresh` of a committed table. Of the table only paths and mtimes are read to
+    find what changed, and then the buckets that changed."""
+    known = table.read().select("path", "mtime")
+    new = stage(to_read(listing, known, force), "changed")
+    gone = known.select("path").filter("false") if force else stage(vanished(known, listing, roots), "vanished")
+    return table.change(new.select("path").unionByName(gone), lambda old: upsert(delete(old, gone), new))
+
+
 def put(store: DataFrame, key: str, value: Column) -> DataFrame:
     """A key-value table with the key's value replaced."""
     row = store.sparkSession.range(1).select(F.lit(key).alias("key"), value.alias("value"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import stage
 from ..functions import text as tx
 
 #: Which decoder reads which extension.
@@ -92,19 +93,23 @@ def relevance(samples: DataFrame, column: str, words: str, k1: float = 1.2, b: f
 def ranked(found: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
     """``found`` with each row's number in the order, from 1.
 
-    No single task holds all rows: a sort deals them to ranges, each numbers its own, and
-    the driver adds up the ranges' sizes, a number for each partition.
+    No single task holds all rows: a sort deals them to ranges, which are written to the
+    shared folder as they are numbered, and the ranges' sizes, a row for each, are added up
+    and joined back.
     """
     within, own = F.col("_number").bitwiseAND((1 << 33) - 1), F.shiftright("_number", 33).cast("int")
-    numbered = found.orderBy(*order).withColumn("_number", F.monotonically_increasing_id()).persist()  # both reads see one sort
-    sizes = {r["own"]: r["n"] for r in numbered.groupBy(own.alias("own")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, total = {}, 0
-    for k in sorted(sizes):
-        before[k], total = total, total + sizes[k]
-    starts = F.create_map(*[F.lit(x) for k, n in before.items() for x in (k, n)]) if before else F.create_map(F.lit(0), F.lit(0))
-    return numbered.withColumn(name, (F.element_at(starts, own) + within + 1).cast("long")).drop("_number")
+    numbered = stage(found.orderBy(*order).withColumn("_number", F.monotonically_increasing_id()), "ranked").withColumn("_own", own)
+    sizes = numbered.groupBy("_own").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_own").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sizes.select("_own", before.alias("_before")))  # a row for each partition of the sort
+    return numbered.join(starts, "_own").withColumn(name, (F.col("_before") + within + 1).cast("long")).drop("_number", "_own", "_before")
 
 
 def run_stats(rows: DataFrame, error: str = "error") -> DataFrame:
     """(files_indexed, errors) of an index run: rows without and with an error."""
-    return rows.agg(F.count_if(F.col(error).isNull()).alias("files_indexed"), F.count_if(F.col(error).isNotNull()).alias("errors"))
+    return rows.agg(*run_counts(error))
+
+
+def run_counts(error: str = "error") -> list[Column]:
+    """The same as columns, to be observed while the rows are written."""
+    return [F.count_if(F.col(error).isNull()).alias("files_indexed"), F.count_if(F.col(error).isNotNull()).alias("errors")]

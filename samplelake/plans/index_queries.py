@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..cluster import shared
 from ..functions import text as tx
 from ..operators import index as ix
 from ..operators import workflow as wf
+from ..sources.table import Table
 from .registry import query
 from .search_queries import low
 
@@ -14,6 +16,13 @@ READ = "SELECT l.* FROM listing l LEFT JOIN state s ON l.path = s.path AND l.mti
 GONE = "SELECT s.path FROM state s LEFT JOIN listing l ON s.path = l.path WHERE l.path IS NULL"
 
 
+def committed(v):
+    """The state as version 1 of a committed table."""
+    table = Table(v.spark, shared(v.spark, "state"))
+    table.create(v.state, ["path"], buckets=8)
+    return table
+
+
 @query("j02_incremental_skip", f"SELECT path, mtime FROM ({READ})")
 def j02(v):
     return ix.to_read(v.listing, v.state).select("path", "mtime")
@@ -30,13 +39,17 @@ UNION ALL SELECT s.path, s.mtime, s.vendor, s.payload, s.id, s.marked FROM ({old
 
 @query("k06_upsert", UPSERTED.format(new="SELECT * FROM listing", old="SELECT * FROM state"))
 def k06(v):
-    return ix.upsert(v.state, v.listing).select("path", "mtime", "vendor", "payload", "id", "marked")
+    table = committed(v)
+    ix.upsert_table(table, v.listing)
+    return table.read().select("path", "mtime", "vendor", "payload", "id", "marked")
 
 
 @query("k06_upsert_strict", """SELECT path, mtime, vendor, payload, NULL AS id, FALSE AS marked FROM listing
 UNION ALL SELECT s.path, s.mtime, s.vendor, s.payload, s.id, s.marked FROM state s LEFT JOIN listing n ON n.path = s.path WHERE n.path IS NULL""")
 def k06_strict(v):
-    return ix.upsert(v.state, v.listing, strict=True).select("path", "mtime", "vendor", "payload", "id", "marked")
+    table = committed(v)
+    ix.upsert_table(table, v.listing, strict=True)
+    return table.read().select("path", "mtime", "vendor", "payload", "id", "marked")
 
 
 @query("k07_row_count")
@@ -46,12 +59,16 @@ def k07(v):
 
 @query("k08_delete", "SELECT s.path, s.mtime FROM state s JOIN listing l ON s.path = l.path")
 def k08(v):
-    return ix.delete(v.state, ix.vanished(v.state, v.listing)).select("path", "mtime")
+    table = committed(v)
+    ix.delete_table(table, ix.vanished(v.state, v.listing))
+    return table.read().select("path", "mtime")
 
 
 @query("e02_incremental_index", UPSERTED.format(new=READ, old="SELECT s.* FROM state s JOIN listing l ON s.path = l.path"))
 def e02(v):
-    return ix.refresh(v.state, v.listing, roots=["/o"]).select("path", "mtime", "vendor", "payload", "id", "marked")
+    table = committed(v)
+    ix.refresh_table(table, v.listing, roots=["/o"])
+    return table.read().select("path", "mtime", "vendor", "payload", "id", "marked")
 
 
 @query("k10_put", "SELECT DISTINCT vendor AS key, CASE WHEN vendor = '5-LOW' THEN 'new' ELSE 'old' END AS value FROM state")

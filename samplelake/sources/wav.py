@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import BinaryIO
 
@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-#: Extensions, chunk limits and sizes of the format.
-EXTENSIONS = ("wav", "aif", "aiff", "mp3", "flac", "ogg")
+from ..cluster import dealt, ship
+from .files import EXTENSIONS, entries, opened
+
+#: Chunk limits and sizes of the format.
 HEADER, BLOCK, LONGEST_INFO = 4096, 602, 4096
 #: Fixed values: (field, begin, end) of the plain and of the packed block.
 PLAIN = (("description", 0, 256), ("vendor", 256, 288), ("library", 288, 320), ("date", 320, 330))
@@ -226,58 +228,69 @@ def read_metadata(f: BinaryIO, id3: bool = False) -> dict:
     return out
 
 
+GLOB = "*.{" + ",".join(x for e in EXTENSIONS for x in (e, e.upper())) + "}"
 COLUMNS = [n for n, _, _ in PLAIN + PACKED if n != "bpm"]
 SCHEMA = (
     "path string, " + ", ".join(f"{n} string" for n in COLUMNS) + ", umid string, bpm int, file_id long, peaks array<smallint>, peaks_source string, "
-    "duration double, sample_rate int, bit_depth int, channels int, total_samples long"
+    "duration double, sample_rate int, bit_depth int, channels int, total_samples long, error string"
 )
 
 
-def _row(path: str, meta: dict) -> tuple:
+def _row(path: str, meta: dict, error: str | None = None) -> tuple:
     number = meta.get("file_id") or 0
     return (
         path, *[meta.get(n, "") for n in COLUMNS], meta.get("umid", ""), meta.get("bpm"), number - (1 << 64) if number >= 1 << 63 else number, meta.get("peaks"),
-        meta.get("peaks_source", "none"), meta.get("duration"), meta.get("sample_rate"), meta.get("bit_depth"), meta.get("channels"), meta.get("total_samples"),
+        meta.get("peaks_source", "none"), meta.get("duration"), meta.get("sample_rate"), meta.get("bit_depth"), meta.get("channels"), meta.get("total_samples"), error,
     )
 
 
+def header_row(path: str, open_file: Callable[[], BinaryIO], id3: bool) -> tuple:
+    """A file's fields, or what is wrong with it; files other than RIFF have a path only."""
+    if not path.lower().endswith(".wav"):
+        return _row(path, {})
+    try:
+        with open_file() as f:
+            return _row(path, read_metadata(f, id3))
+    except (OSError, ValueError, struct.error) as raised:
+        return _row(path, {}, f"{type(raised).__name__}: {raised}")
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "array<smallint>": pa.list_(pa.int16())}
+    fields = [f.split() for f in SCHEMA.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
+
+
 @dataclass
-class Files(InputPartition):
+class Folders(InputPartition):
     paths: list[str] = field(default_factory=list)
+    deep: bool = True
 
 
 class WavReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.roots = [r for r in options.get("path", "").split(",") if r]
         self.id3 = options.get("id3", "false").lower() == "true"
-        self.each = int(options.get("filesPerPartition", "500"))
-
-    def partitions(self) -> list[Files]:
-        import os
-
-        found = []
-        for root in self.roots:
-            for folder, _, names in os.walk(root):
-                found += [os.path.join(folder, n) for n in names if n.rpartition(".")[2] in {x for e in EXTENSIONS for x in (e, e.upper())}]
-        found.sort()
-        return [Files(found[i : i + self.each]) for i in range(0, len(found), self.each)] or [Files([])]
-
-    def read(self, partition: Files) -> Iterator[tuple]:
-        """Header bytes only; files that can't be read are left out, others than RIFF have
-        a path only."""
-        for path in partition.paths:
-            if not path.lower().endswith(".wav"):
-                yield _row(path, {})
-                continue
-            try:
-                with open(path, "rb") as f:
-                    yield _row(path, read_metadata(f, self.id3))
-            except (OSError, ValueError, struct.error):
-                continue
+
+    def partitions(self) -> list[Folders]:
+        """The roots' own files, and each folder right under a root: tasks walk on from there."""
+        found = [Folders([r], deep=False) for r in self.roots]
+        return found + [Folders([path]) for r in self.roots for path, folder, *_ in entries(r) if folder] or [Folders([])]
+
+    def read(self, partition: Folders) -> Iterator[tuple]:
+        """Header bytes only; a file or folder that can't be read is a row with an error."""
+        folders = list(partition.paths)
+        while folders:
+            for path, folder, _, _, error in entries(folders.pop()):
+                if folder:
+                    folders += [path] if partition.deep else []
+                else:
+                    yield _row(path, {}, error) if error else header_row(path, lambda path=path: opened(path), self.id3)
 
 
 class WavSource(DataSource):
-    """``spark.read.format("wavmeta").load(folder)`` for folders that every machine mounts."""
+    """``spark.read.format("wavmeta").load(folder)`` for folders that every machine mounts.
+    Its tasks are the folders under the roots; :func:`read_headers` balances files."""
 
     @classmethod
     def name(cls) -> str:
@@ -290,34 +303,37 @@ class WavSource(DataSource):
         return WavReader(self.options)
 
 
+def read_headers(files: DataFrame, id3: bool = False, each: int = 500) -> DataFrame:
+    """The fields of files (path), ``each`` of them a task, which reads their headers only;
+    a file that can't be read is a row with an error."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if rows := [header_row(path, lambda path=path: opened(path), id3) for path in batch.column(0).to_pylist()]:
+                yield _batch(rows)
+
+    ship(files.sparkSession)
+    return dealt(files.select("path"), each).mapInArrow(run, SCHEMA)
+
+
 def read_files(spark: SparkSession, path: str, id3: bool = False) -> DataFrame:
     """The same rows through Spark's file reader, for stores that only Spark reads. It reads
-    whole files, so use :class:`WavSource` where files are large and mounted."""
-    globs = ",".join(x for e in EXTENSIONS for x in (e, e.upper()))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{globs}}}").load(path).select("path", "content")
+    whole files, so use :func:`read_headers` where Arrow opens the store."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", GLOB).load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import io
 
         for batch in batches:
-            rows = []
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                try:
-                    rows.append(_row(name, read_metadata(io.BytesIO(raw), id3) if name.lower().endswith(".wav") else {}))
-                except (ValueError, struct.error):
-                    continue
-            names = [x.split()[0] for x in SCHEMA.split(", ")]
-            kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "array<smallint>": pa.list_(pa.int16())}
-            columns = list(zip(*rows)) if rows else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[x.split()[1]]) for c, x in zip(columns, SCHEMA.split(", "))], names=names)
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                yield _batch([header_row(name, lambda raw=raw: io.BytesIO(raw.as_py()), id3)])
 
+    ship(spark)
     return files.mapInArrow(run, SCHEMA)
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, mtime) of the audio files under ``path``; contents aren't read."""
-    globs = ",".join(x for e in EXTENSIONS for x in (e, e.upper()))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{globs}}}").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", GLOB).load(path)
     return files.select("path", F.unix_timestamp("modificationTime").alias("mtime"))
 
 

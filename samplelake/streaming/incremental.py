@@ -3,18 +3,74 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
+from pyspark.sql import functions as F
 
+from ..cluster import stage
 from ..operators import index as ix
+from ..operators import stats as st
+from ..sources import wav
+from ..sources.files import list_tree
+from ..sources.table import Table
 
 
-def follow(listing: DataFrame, load: Callable[[], DataFrame], save: Callable[[DataFrame], None], checkpoint: str):
-    """Upserts each batch of a streaming listing into the table that ``load`` reads and
-    ``save`` writes as a new version; handles what is there, then ends."""
+#: With more unreadable folders than this a run deletes nothing.
+MOST_UNREAD = 1000
+
+
+@dataclass(frozen=True)
+class Run:
+    """What an index run did; errors are of files and of folders."""
+
+    files_indexed: int
+    errors: int
+    deleted: int
+    version: int
+
+
+def index_folder(spark: SparkSession, roots: list[str], table: Table, id3: bool = False, force: bool = False, buckets: int = 64) -> Run:
+    """Brings a table of samples up to date with the folders under ``roots``.
+
+    The listing is spread over tasks, and joined with the table's paths and mtimes; only new
+    and changed files are opened. Their rows are written once, and counted while they are;
+    then the touched buckets are committed. A file with an error stays as the table has it
+    and is tried again by the next run; one that is gone from under a root goes. Names and
+    folders come from the path.
+    """
+    listed = list_tree(spark, roots)
+    files = listed.filter("error IS NULL")
+    known = table.read().select("path", "mtime") if table.exists() else spark.createDataFrame([], "path string, mtime long")
+    wanted = ix.to_read(files.select("path", "mtime"), known, force)
+    watch = Observation()
+    name = F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1)
+    rows = wav.read_headers(wanted, id3).join(wanted, "path").withColumns({"name": name, "parent_folder": F.regexp_extract("path", "^(.*)/[^/]*$", 1)})
+    read = stage(rows.observe(watch, *st.run_counts()), "headers")
+    failed = listed.filter("error IS NOT NULL").count()
+    good = read.filter("error IS NULL").drop("error")
+    counts = watch.get
+    if not table.exists():
+        done = table.create(good, ["path"], buckets)
+        return Run(counts["files_indexed"], counts["errors"] + failed, 0, done.number)
+    gone = ix.vanished(known, files, roots)
+    if failed > MOST_UNREAD:
+        gone = gone.filter("false")
+    elif failed:
+        # a folder that couldn't be listed says nothing about its files
+        unread = F.broadcast(listed.filter("error IS NOT NULL").select(F.concat("path", F.lit("/")).alias("folder")))
+        gone = gone.join(unread, F.col("path").startswith(F.col("folder")), "left_anti")
+    gone = stage(gone, "vanished")
+    done = table.change(good.select("path").unionByName(gone), lambda old: ix.upsert(ix.delete(old, gone), good, keep=(), order="mtime"))
+    return Run(counts["files_indexed"], counts["errors"] + failed, gone.count(), done.number)
+
+
+def follow(listing: DataFrame, table: Table, checkpoint: str):
+    """Commits each batch of a streaming listing to the table; handles what is there, then
+    ends."""
 
     def batch(rows: DataFrame, _: int) -> None:
-        save(ix.upsert(load(), rows))
+        ix.upsert_table(Table(rows.sparkSession, table.root), rows)
 
     return listing.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -9,6 +9,7 @@ from samplelake.operators import similar as si
 from samplelake.operators import workflow as wf
 from samplelake.schema import upgrade
 from samplelake.sources import tables as tb
+from samplelake.sources.table import Table
 from samplelake.streaming import fsm
 from samplelake.streaming.incremental import follow, results
 
@@ -57,10 +58,11 @@ def test_stream_folds_as_batch(spark, tmp_path):
 def test_index_follows_a_stream(spark, tmp_path):
     listing = spark.createDataFrame([("/a", 1), ("/b", 2)], "path string, mtime long")
     listing.write.parquet(str(tmp_path / "new"))
-    table = {"now": spark.createDataFrame([("/a", 0), ("/c", 3)], "path string, mtime long")}
+    table = Table(spark, str(tmp_path / "table"))
+    table.create(spark.createDataFrame([("/a", 0), ("/c", 3)], "path string, mtime long"), ["path"], buckets=4)
     stream = spark.readStream.schema(listing.schema).parquet(str(tmp_path / "new"))
-    follow(stream, lambda: table["now"], lambda df: table.update(now=spark.createDataFrame(df.collect(), df.schema)), str(tmp_path / "cp")).awaitTermination()
-    assert sorted(tuple(r) for r in table["now"].collect()) == [("/a", 1), ("/b", 2), ("/c", 3)]
+    follow(stream, table, str(tmp_path / "cp")).awaitTermination()
+    assert sorted(tuple(r) for r in table.read().collect()) == [("/a", 1), ("/b", 2), ("/c", 3)]
 
 
 def test_results_can_be_cancelled(spark):

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from samplelake.sources import wav
+from samplelake.sources.files import list_tree
 
 
 def block(packed=True, version=2, **fields):
@@ -135,8 +136,9 @@ def test_sources_agree(spark, tmp_path):
     (tmp_path / "c.mp3").write_bytes(b"\0")
     (tmp_path / "d.txt").write_bytes(b"\0")
     spark.dataSource.register(wav.WavSource)
-    rows = {r.path.rsplit("/", 1)[1]: (r.vendor, r.bpm, r.duration) for r in spark.read.format("wavmeta").load(str(tmp_path)).collect()}
-    assert rows == {"a.wav": ("V", 99, 1.0), "b.WAV": ("W", None, 1.0), "c.mp3": ("", None, None)}
-    other = {r.path.rsplit("/", 1)[1]: (r.vendor, r.bpm, r.duration) for r in wav.read_files(spark, str(tmp_path)).collect()}
-    assert other == rows
+    name = lambda r: r.path.rsplit("/", 1)[1]
+    rows = {name(r): (r.vendor, r.bpm, r.duration, r.error and r.error.split(":")[0]) for r in spark.read.format("wavmeta").load(str(tmp_path)).collect()}
+    assert rows == {"a.wav": ("V", 99, 1.0, None), "b.WAV": ("W", None, 1.0, None), "c.mp3": ("", None, None, None), "bad.wav": ("", None, None, "ValueError")}
+    for other in (wav.read_files(spark, str(tmp_path)), wav.read_headers(list_tree(spark, [str(tmp_path)]), each=2)):
+        assert {name(r): (r.vendor, r.bpm, r.duration, r.error and r.error.split(":")[0]) for r in other.collect()} == rows
     assert wav.list_files(spark, str(tmp_path)).count() == 4
