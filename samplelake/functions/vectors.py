@@ -54,11 +54,15 @@ def encode(vec: Column, codebook: list[list[list[float]]]) -> Column:
 def table_distance(code: Column, table: list[list[float]]) -> Column:
     """Sum over sub-spaces of the query's distance to the code's centroid."""
     rows = np.asarray(table, np.float64)
-    at = np.arange(len(rows))
+    at = np.arange(len(rows))[None]
 
     @F.pandas_udf("double")
     def total(codes: pd.Series) -> pd.Series:
-        return pd.Series([None if c is None else float(rows[at, np.asarray(c)].sum()) for c in codes], dtype="float64")
+        there = codes.notna().to_numpy()
+        out = np.full(len(codes), np.nan)
+        if there.any():
+            out[there] = rows[at, np.stack(codes[there].to_numpy())].sum(1)
+        return pd.Series(out).where(there)
 
     return total(code)
 

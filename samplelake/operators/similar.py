@@ -6,10 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import ship, stage
 from ..functions import vectors as ve
+from ..sources.table import Conflict, Table, claim
 
 
 def _subject(vectors: DataFrame, subject: int) -> tuple[str, list[float]]:
@@ -72,9 +75,17 @@ def unpack_codebook(raw: bytes, m: int = 128, k: int = 256, width: int = 4) -> n
 
 
 def save_codebook(spark, codebook: list, folder: str) -> int:
-    """Writes the codebook as the next version of ``folder`` and returns its number. Readers
-    take the highest version that is complete, so a half-written one is never seen."""
-    version = max([0, *codebook_versions(spark, folder)]) + 1
+    """Writes the codebook as the next version of ``folder`` and returns its number. The
+    number is taken first, by an exclusive name, so two writers never have the same one;
+    readers take the highest version that is complete."""
+    version = max([0, *codebook_versions(spark, folder)])
+    while True:
+        version += 1
+        try:
+            claim(spark, f"{folder}/.claims", f"{version:010d}")
+            break
+        except Conflict:
+            continue
     rows = spark.createDataFrame([(version, bytearray(pack_codebook(codebook)))], "version int, codebook binary")
     rows.coalesce(1).write.parquet(f"{folder}/version={version}")
     return version
@@ -123,25 +134,145 @@ def training_sample(samples: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return rest.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
 
 
-def train_codebook(sample: DataFrame, parts: int, centroids: int, rounds: int = 10, seed: int = 0) -> DataFrame:
-    """(m, k, centroid): Lloyd's k-means in each sub-space, one task each. ``sample`` is a
-    bounded sample, see :func:`training_sample`."""
-    width = F.size("vec") / parts
-    rows = sample.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda m: F.slice("vec", (m * width + 1).cast("int"), width.cast("int")))).alias("m", "part"))
-
-    def fit(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("id")
-        x = np.array(own["part"].tolist(), np.float64)
-        rng = np.random.default_rng(seed)
-        c = x[rng.choice(len(x), min(centroids, len(x)), replace=False)]
-        for _ in range(rounds):
-            near = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
-            for k in range(len(c)):
-                if (near == k).any():
-                    c[k] = x[near == k].mean(0)
-        return pd.DataFrame({"m": key[0], "k": range(len(c)), "centroid": list(c)})
-
-    return rows.groupBy("m").applyInPandas(fit, "m int, k int, centroid array<double>")
+def _nearest(x: np.ndarray, book: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For vectors (n, parts, width) the nearest row of each part's ``book``, and its squared
+    distance; parts may have different numbers of rows."""
+    near, square = np.empty(x.shape[:2], np.int64), np.empty(x.shape[:2])
+    for m, c in enumerate(book):
+        d = (x[:, m] ** 2).sum(1)[:, None] - 2 * (x[:, m] @ c.T) + (c**2).sum(1)[None]
+        near[:, m] = d.argmin(1)
+        square[:, m] = np.maximum(d[np.arange(len(x)), near[:, m]], 0)
+    return near, square
+
+
+def _uniform(ids: np.ndarray, parts: int, salt: int) -> np.ndarray:
+    """A number in 0 to 1 for each id and part, the same whichever task asks."""
+    with np.errstate(over="ignore"):
+        z = ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + (np.arange(parts, dtype=np.uint64) + np.uint64(salt * parts + 1))[None] * np.uint64(0xD1B54A32D192ED03)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) / 2.0**53
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], parts: int, rows: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors (n, parts, width) in double precision."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            part = batch.slice(at, rows)
+            yield part.column(0).to_numpy(zero_copy_only=False), part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), parts, -1)
+
+
+def _sums(vectors: DataFrame, book: list[np.ndarray], parts: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Of each row of the book: the sum and the number of its vectors; and each part's summed
+    squared distance. A task adds up its own vectors; a row for each row of the book is left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, count, cost = [np.zeros(c.shape) for c in book], [np.zeros(len(c), np.int64) for c in book], np.zeros(parts)
+        for _, x in _blocks(batches, parts):
+            near, square = _nearest(x, book)
+            cost += square.sum(0)
+            for m in range(parts):
+                np.add.at(total[m], near[:, m], x[:, m])
+                count[m] += np.bincount(near[:, m], minlength=len(book[m]))
+        for m in range(parts):
+            n = len(book[m])
+            spent = np.where(np.arange(n) == 0, cost[m], 0.0)
+            yield pa.RecordBatch.from_arrays([pa.array([m] * n, pa.int32()), pa.array(np.arange(n, dtype=np.int32)), pa.array(list(total[m])), pa.array(count[m]), pa.array(spent)], names=["m", "k", "total", "n", "cost"])
+
+    width = book[0].shape[1]
+    partial = vectors.mapInArrow(run, "m int, k int, total array<double>, n long, cost double")
+    added = [F.sum(F.col("total")[i]) for i in range(width)]
+    rows = partial.groupBy("m", "k").agg(F.array(*added).alias("total"), F.sum("n").alias("n"), F.sum("cost").alias("cost")).collect()
+    total, count, cost = [np.zeros(c.shape) for c in book], [np.zeros(len(c), np.int64) for c in book], np.zeros(parts)
+    for r in rows:
+        total[r["m"]][r["k"]], count[r["m"]][r["k"]] = r["total"], r["n"]
+        cost[r["m"]] += r["cost"]
+    return total, count, cost
+
+
+def _seeds(vectors: DataFrame, parts: int, centroids: int, seed: int, passes: int) -> list[np.ndarray]:
+    """Starts for all parts at once: each pass draws every vector with a chance in proportion
+    to its squared distance, some 2 * ``centroids`` in all; of these, weighted by how many
+    vectors they are nearest to, the driver picks by the same rule."""
+    first = vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(centroids).collect()
+    if not first:
+        raise ValueError("there are no vectors to train on")
+    some = np.array([r["vec"] for r in first], np.float64).reshape(len(first), parts, -1)
+    book = [some[:1, m] for m in range(parts)]
+    each = 2 * centroids / passes
+    for i in range(passes):
+        _, _, cost = _sums(vectors, book, parts)
+        rate = np.where(cost > 0, each / np.where(cost > 0, cost, 1), 0.0)
+
+        def drawn(batches: Iterator[pa.RecordBatch], book=book, rate=rate, salt=seed * 1009 + i) -> Iterator[pa.RecordBatch]:
+            for ids, x in _blocks(batches, parts):
+                rows, m = np.nonzero(_uniform(ids, parts, salt) < _nearest(x, book)[1] * rate[None])
+                yield pa.RecordBatch.from_arrays([pa.array(m.astype(np.int32)), pa.array(list(x[rows, m]), pa.list_(pa.float64()))], names=["m", "part"])
+
+        for r in vectors.mapInArrow(drawn, "m int, part array<double>").collect():  # some ``each`` a part
+            book[r["m"]] = np.vstack([book[r["m"]], r["part"]])
+    # spare starts, for parts that have fewer different vectors than centroids
+    book = [np.unique(np.vstack([book[m], some[:, m]]), axis=0) for m in range(parts)]
+    _, count, _ = _sums(vectors, book, parts)
+    picks = np.random.default_rng(seed)
+    out = []
+    for c, weight in zip(book, count):
+        chance, chosen = weight.astype(np.float64), []
+        for _ in range(min(centroids, len(c))):
+            chance[chosen] = 0
+            chosen.append(int(picks.choice(len(c), p=chance / chance.sum())) if chance.sum() > 0 else next(i for i in range(len(c)) if i not in chosen))
+            chance = weight * ((c[:, None] - c[None, chosen]) ** 2).sum(2).min(1)
+        out.append(c[chosen])
+    return out
+
+
+def train_codebook(vectors: DataFrame, parts: int, centroids: int, rounds: int = 10, seed: int = 0, passes: int = 4) -> DataFrame:
+    """(m, k, centroid): k-means in each part of vectors (id, vec) of one length, over all.
+
+    Every task adds up its own vectors by their nearest centroids, for all parts in one
+    pass, and the sums are merged each round: nothing leaves a task that grows with the
+    vectors, and no task has a part's all. Starts come from :func:`_seeds`; a centroid
+    without vectors stays. A part with fewer different vectors has fewer centroids. Stage
+    ``vectors`` if they are dear to make: there are ``rounds`` + 2 * ``passes`` passes.
+    """
+    spark = vectors.sparkSession
+    ship(spark)
+    rows = vectors.select(F.col("id").cast("long").alias("id"), "vec").filter("vec IS NOT NULL")
+    book = _seeds(rows, parts, centroids, seed, passes)
+    for _ in range(rounds):
+        total, count, _ = _sums(rows, book, parts)
+        book = [np.where(n[:, None] > 0, t / np.maximum(n, 1)[:, None], c) for c, t, n in zip(book, total, count)]
+    return spark.createDataFrame([(m, k, row.tolist()) for m, c in enumerate(book) for k, row in enumerate(c)], "m int, k int, centroid array<double>")
+
+
+def distortion(vectors: DataFrame, codebook: list, parts: int) -> float:
+    """The summed squared distance of all vectors to their nearest centroids."""
+    return float(_sums(vectors.select("id", "vec"), [np.asarray(c, np.float64) for c in codebook], parts)[2].sum())
+
+
+def encode_new(table: Table, vectors: DataFrame, codebook: list, version: int, buckets: int = 64) -> int:
+    """Brings a committed table of codes (id, path, stamp, code) up to date with vectors (id,
+    path, vec) and returns how many were encoded: with the codebook version that the table
+    was made with, only new and changed vectors; with another one, all. Codes of vectors
+    that are gone go. ``stamp`` is the vector's hash."""
+    ship(table.spark)
+    stamped = vectors.select("id", "path", "vec", F.xxhash64("vec").alias("stamp"))
+    coded = lambda rows: rows.select("id", "path", "stamp", ve.encode(F.col("vec"), codebook).alias("code"))
+    noted = {"codebook": str(version)}
+    if not table.exists():
+        table.create(coded(stamped), ["id"], buckets, notes=noted)
+        return table.read().count()
+    known = table.version()
+    old = table.read(known).select("id", "path", "stamp")
+    if known.notes.get("codebook") != str(version):
+        new = stage(coded(stamped), "codes")
+        table.change(new.select("id").unionByName(old.select("id")), lambda _: new, notes=noted)
+        return new.count()
+    new = stage(coded(stamped.join(old, ["id", "path", "stamp"], "left_anti")), "codes")
+    gone = stage(old.select("id").join(vectors.select("id"), "id", "left_anti"), "gone")
+    changed = new.select("id").unionByName(gone)
+    table.change(changed, lambda rows: rows.join(changed, "id", "left_anti").unionByName(new))
+    return new.count()
 
 
 def embed(rows: DataFrame, encoder: Callable[[list[str]], np.ndarray], dim: int, batch: int = 32) -> DataFrame:
@@ -165,11 +296,18 @@ def set_embeddings(samples: DataFrame, new: DataFrame, dim: int) -> DataFrame:
     return samples.join(checked, "path", "left").withColumn("embedding", F.coalesce("embedding", "_new")).drop("_new")
 
 
-def synthetic(spark, n: int, dim: int, seed: int = 0) -> DataFrame:
-    """(id, vec): Gaussian vectors of unit length."""
-    raw = spark.range(n).select("id", F.array(*[F.randn(seed + i) for i in range(dim)]).alias("vec"))
+def synthetic(rows: DataFrame, dim: int, seed: int = 0) -> DataFrame:
+    """(id, vec): for each id a Gaussian vector of unit length, the same in every run: pairs
+    of uniform numbers are cut from the md5 of seed, id and place."""
+
+    def uniform(place: Column, salt: int) -> Column:
+        digest = F.md5(F.concat_ws(":", F.lit(seed), "id", place, F.lit(salt)))
+        return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") + 0.5) / 2.0**32
+
+    normal = F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: F.sqrt(-2 * F.ln(uniform(i, 0))) * F.cos(2 * np.pi * uniform(i, 1)))
+    raw = rows.select("id", normal.alias("vec"))
     length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda t, x: t + x * x))
-    return raw.select("id", F.transform("vec", lambda x: (x / length).cast("float")).alias("vec"))
+    return raw.select("id", length.alias("length"), "vec").select("id", F.transform("vec", lambda x: (x / F.col("length")).cast("float")).alias("vec"))
 
 
 def attach(samples: DataFrame, scores: DataFrame) -> DataFrame:

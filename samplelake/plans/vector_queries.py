@@ -7,9 +7,11 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..cluster import shared
 from ..functions import vectors as ve
 from ..operators import similar as si
 from ..operators import stats as st
+from ..sources.table import Table
 from .registry import query
 
 SUBJECT, PARTS, CENTROIDS, WIDTH = 7, 16, 256, 4
@@ -23,13 +25,26 @@ code AS (SELECT id, m, k FROM (SELECT *, row_number() OVER (PARTITION BY id, m O
 
 
 def book(v):
-    """Centroid k of part m: that part of vector k."""
-    rows = v.vectors.filter(F.col("id") < CENTROIDS).orderBy("id").select("vec").limit(CENTROIDS).collect()
-    return [[[float(x) for x in r.vec[m * WIDTH : (m + 1) * WIDTH]] for r in rows] for m in range(PARTS)]
+    """Centroid k of part m: that part of vector k. Collected once for a session and folder."""
+    key = v.spark.sparkContext.applicationId, v.sf_dir
+    if key not in BOOKS:
+        rows = v.vectors.filter(F.col("id") < CENTROIDS).orderBy("id").select("vec").limit(CENTROIDS).collect()
+        BOOKS[key] = [[[float(x) for x in r.vec[m * WIDTH : (m + 1) * WIDTH]] for r in rows] for m in range(PARTS)]
+    return BOOKS[key]
 
 
 def coded(v):
-    return v.vectors.select("id", "path", ve.encode(F.col("vec"), book(v)).alias("code"))
+    """The stored codes of all vectors, brought up to date once for a session and folder."""
+    key = v.spark.sparkContext.applicationId, v.sf_dir
+    if key not in CODED:
+        table = Table(v.spark, shared(v.spark, "codes"))
+        si.encode_new(table, v.vectors, book(v), 1, buckets=8)
+        CODED[key] = table.root
+    return Table(v.spark, CODED[key]).read()
+
+
+BOOKS: dict[tuple[str, str], list] = {}
+CODED: dict[tuple[str, str], str] = {}
 
 
 @query("c15_distance", f"SELECT id, round(dist, 6) AS dist FROM ({ALL})")
@@ -126,9 +141,14 @@ def m07(v):
 
 @query("m08_train_codebook")
 def m08(v):
-    return si.train_codebook(si.training_sample(v.vectors.withColumnRenamed("label", "category"), 200), PARTS, CENTROIDS)
+    return si.train_codebook(v.vectors, PARTS, CENTROIDS, rounds=4, passes=2)
+
+
+UNIFORM = "(CAST(('0x' || substr(md5('0:' || id || ':' || i || ':{}'), 1, 8)) AS BIGINT) + 0.5e0) / 4294967296e0"
 
 
-@query("m10_synthetic")
+@query("m10_synthetic", f"""WITH g AS (SELECT id, i, sqrt(-2 * ln({UNIFORM.format(0)})) * cos(2 * pi() * {UNIFORM.format(1)}) AS g FROM vectors, range(1, 17) t(i)),
+ l AS (SELECT id, sqrt(sum(g * g)) AS l FROM g GROUP BY id) SELECT g.id, CAST(i - 1 AS INT) AS pos, round(CAST(CAST(g / l AS FLOAT) AS DOUBLE), 5) AS v FROM g JOIN l USING (id)""")
 def m10(v):
-    return si.synthetic(v.spark, 100, 16)
+    made = si.synthetic(v.vectors, 16)
+    return made.select("id", F.posexplode("vec").alias("pos", "v")).withColumn("v", F.round(F.col("v").cast("double"), 5))

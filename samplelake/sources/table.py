@@ -163,6 +163,17 @@ def bucket(keys: Iterable[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
+def claim(spark: SparkSession, folder: str, name: str) -> None:
+    """Takes a name in a folder for good; raises :class:`Conflict` if somebody has it."""
+    system, draft = file_system(spark, f"{folder}/.draft-{uuid.uuid4().hex}")
+    system.create(draft, False).close()
+    try:
+        take_name(spark, draft, file_system(spark, f"{folder}/{name}")[1])
+    finally:
+        if system.exists(draft):
+            system.delete(draft, False)
+
+
 def take_name(spark: SparkSession, draft, final) -> None:  # noqa: ANN001
     """Gives a file its final name, which nobody else may have: a link on a local disk, else
     the store's rename, which refuses a name that exists. Raises :class:`Conflict`."""
