@@ -1,10 +1,8 @@
-"""Headers of RIFF/WAVE files: chunks, fields, audio facts, samples and in-place writes."""
+"""Headers of RIFF/WAVE files: chunks, fields, audio facts and samples."""
 
 from __future__ import annotations
 
 import struct
-import time
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import BinaryIO
@@ -335,61 +333,3 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, mtime) of the audio files under ``path``; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", GLOB).load(path)
     return files.select("path", F.unix_timestamp("modificationTime").alias("mtime"))
-
-
-def write_field(path: str, offset: int, raw: bytes, commit: bool = False) -> bool:
-    """Overwrites bytes of the block in place; the file's size stays. Nothing without ``commit``."""
-    with open(path, "r+b" if commit else "rb") as f:
-        place = scan_chunks(f).bext
-        if place is None or offset + len(raw) > min(place[1], BLOCK):
-            raise ValueError("no such place in the block")
-        if commit:
-            f.seek(place[0] + offset)
-            f.write(raw)
-    return commit
-
-
-def fixed(text: str, width: int) -> bytes:
-    """ASCII with question marks for other characters, cut and zero-padded."""
-    return text.encode("ascii", "replace")[:width].ljust(width, b"\0")
-
-
-def write_markers(path: str, markers: bytes, commit: bool = False) -> bool:
-    """Both banks (32 bytes) into a packed file, whose minor version becomes 2."""
-    with open(path, "rb") as f:
-        place = scan_chunks(f).bext
-        f.seek(place[0] if place else 0)
-        if place is None or not decode_bext(f.read(BLOCK))["packed"]:
-            raise ValueError("the file isn't packed")
-    write_field(path, 12, markers, commit)
-    return write_field(path, 10, struct.pack("<H", 2), commit)
-
-
-def init_packed(path: str, markers: bytes, commit: bool = False) -> int:
-    """Makes a block packed: versions, markers and block version first, the id last, so that
-    a run that was broken off can start again. Returns the id."""
-    file_id = int.from_bytes(time.time_ns().__floordiv__(1_000_000).to_bytes(6, "big") + (0x7000 | uuid.uuid4().int & 0x0FFF).to_bytes(2, "big"), "big")
-    for offset, raw in ((8, struct.pack("<HH", 1, 2)), (12, markers), (346, struct.pack("<H", 2)), (0, file_id.to_bytes(8, "big"))):
-        write_field(path, offset, raw, commit)
-    return file_id
-
-
-def write_changes(path: str, changes: list[tuple[str, str, str]], force: bool = False, commit: bool = False) -> list[str]:
-    """Writes a diff's fields that have a fixed place; returns their names. A packed file is
-    refused unless ``force``. Description, take, track and item are shown, never written."""
-    with open(path, "rb") as f:
-        place = scan_chunks(f).bext
-        if place is None:
-            raise ValueError("the file has no block")
-        f.seek(place[0])
-        packed = decode_bext(f.read(BLOCK))["packed"]
-    if packed and not force:
-        raise PermissionError("the file is packed already")
-    places = {n: (a, b) for n, a, b in PLAIN + PACKED if n not in ("description", "take", "track", "item")} | {"umid": (348, 412)}
-    wanted = [(n, new) for n, _, new in changes if n in places]
-    if not packed and any(n in {x for x, _, _ in PACKED} for n, _ in wanted):
-        init_packed(path, b"\xff" * 12 + b"\0" * 4 + b"\xff" * 12 + b"\0" * 4, commit)
-    for name, new in wanted:
-        a, b = places[name]
-        write_field(path, a, fixed("" if new == "—" else new, b - a), commit)
-    return [n for n, _ in wanted]

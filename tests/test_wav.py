@@ -109,25 +109,6 @@ def test_float_and_channels():
     assert wav.channel(wav.samples(raw, shape), "mix").tolist() == [0.375, 1.0]
 
 
-def test_writes(tmp_path):
-    path = tmp_path / "a.wav"
-    raw = riff(chunk(b"bext", block(False)), chunk(b"fmt ", fmt()), chunk(b"data", b"\0\0"))
-    path.write_bytes(raw)
-    diff = [("vendor", "", "Maß"), ("category", "", "LOOPS"), ("take", "", "7"), ("description", "", "no")]
-    wav.write_changes(str(path), diff)
-    assert path.read_bytes() == raw
-    assert wav.write_changes(str(path), diff, commit=True) == ["vendor", "category"]
-    assert path.stat().st_size == len(raw)
-    got = wav.read_metadata(io.BytesIO(path.read_bytes()))
-    assert got["packed"] and got["vendor"] == "Ma?" and got["category"] == "LOOP" and got["take"] == ""
-    with pytest.raises(PermissionError):
-        wav.write_changes(str(path), diff, commit=True)
-    wav.write_markers(str(path), b"\1" * 32, commit=True)
-    assert wav.read_metadata(io.BytesIO(path.read_bytes()))["markers"] == b"\1" * 32
-    with pytest.raises(ValueError):
-        wav.write_field(str(path), 600, b"abc", commit=True)
-
-
 def test_sources_agree(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a.wav").write_bytes(sample(vendor="V", bpm="99"))
