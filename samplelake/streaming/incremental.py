@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import queue
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,9 +78,84 @@ def follow(listing: DataFrame, table: Table, checkpoint: str):
     return listing.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class Search:
+    """A search that runs beside its caller: rows come as their partitions end, and
+    :meth:`cancel` stops the tasks that still run.
+
+    The jobs carry a tag of their own, so that nothing else of the session is stopped. At
+    most ``ahead`` rows wait for the caller; then the search waits too.
+    """
+
+    def __init__(self, found: DataFrame, ahead: int = 1000) -> None:
+        self.tag = f"search-{uuid.uuid4().hex}"
+        self.cancelled = False
+        self._context = found.sparkSession.sparkContext
+        self._rows: queue.Queue = queue.Queue(ahead)
+        self._thread = InheritableThread(target=self._run, args=(found,), daemon=True)
+        self._thread.start()
+
+    def _run(self, found: DataFrame) -> None:
+        self._context.addJobTag(self.tag)
+        end: BaseException | None = None
+        try:
+            for row in found.toLocalIterator(prefetchPartitions=True):
+                while not self.cancelled:
+                    try:
+                        self._rows.put(row, timeout=0.1)
+                        break
+                    except queue.Full:
+                        continue
+                if self.cancelled:
+                    break
+        except Exception as raised:  # noqa: BLE001  handed to the caller
+            end = raised
+        finally:
+            self._context.removeJobTag(self.tag)
+        while True:
+            try:
+                self._rows.put(_End(end), timeout=0.1)
+                return
+            except queue.Full:
+                if self.cancelled:
+                    return
+
+    def cancel(self) -> None:
+        """Stops the search; the rows that have come are dropped."""
+        self.cancelled = True
+        self._context.cancelJobsWithTag(self.tag)
+
+    def wait(self, seconds: float | None = None) -> bool:
+        """Whether the search has ended, within ``seconds``."""
+        self._thread.join(seconds)
+        return not self._thread.is_alive()
+
+    def __iter__(self) -> Iterator[Row]:
+        while not self.cancelled:
+            try:
+                row = self._rows.get(timeout=0.1)
+            except queue.Empty:
+                if not self._thread.is_alive() and self._rows.empty():
+                    return
+                continue
+            if isinstance(row, _End):
+                if row.error is not None and not self.cancelled:
+                    raise row.error
+                return
+            yield row
+
+
+@dataclass(frozen=True)
+class _End:
+    error: BaseException | None
+
+
 def results(found: DataFrame, cancelled: Callable[[], bool] = lambda: False) -> Iterator[Row]:
-    """Rows as they come, one partition ahead, until ``cancelled`` says so."""
-    for row in found.toLocalIterator(prefetchPartitions=True):
-        if cancelled():
-            return
-        yield row
+    """Rows as they come, until ``cancelled`` says so; then the search's tasks are stopped."""
+    search = Search(found)
+    try:
+        for row in search:
+            if cancelled():
+                return
+            yield row
+    finally:
+        search.cancel()

@@ -1,6 +1,7 @@
 """Index runs over a folder: new files only, errors counted, broken ones tried again."""
 
 import os
+import time
 
 import pytest
 
@@ -55,3 +56,45 @@ def test_counts_agree_with_the_rows(spark, tmp_path):
 def test_ranks(spark, n):
     rows = spark.range(n).selectExpr("id", "(id * 7919) % 500 AS k").repartition(5)
     assert sorted((r.k, r.place) for r in st.ranked(rows, [rows.k]).collect()) == [(k, i + 1) for i, k in enumerate(sorted((i * 7919) % 500 for i in range(n)))]
+
+
+def running(spark):
+    tracker = spark.sparkContext.statusTracker()
+    return len(tracker.getActiveJobsIds())
+
+
+def slow(spark, seconds):
+    """Eight tasks that sleep for each row."""
+
+    def run(batches):
+        for batch in batches:
+            time.sleep(seconds)
+            yield batch
+
+    return spark.range(0, 80, 1, 8).mapInArrow(run, "id long")
+
+
+def test_a_cancelled_search_stops_its_tasks(spark):
+    other = inc.Search(slow(spark, 1))
+    search = inc.Search(slow(spark, 120))
+    deadline = time.time() + 30
+    while running(spark) < 2 and time.time() < deadline:
+        time.sleep(0.1)
+    began = time.time()
+    search.cancel()
+    assert search.wait(20) and time.time() - began < 20 and list(search) == []
+    assert sorted(r.id for r in other) == list(range(80))
+    while running(spark) and time.time() < deadline:
+        time.sleep(0.1)
+    assert running(spark) == 0
+
+
+def test_searches_end_by_themselves_or_with_their_error(spark):
+    search = inc.Search(spark.range(5000), ahead=7)
+    assert sorted(r.id for r in search) == list(range(5000)) and search.wait(10)
+    with pytest.raises(Exception, match="broken"):
+        list(inc.Search(spark.range(3).selectExpr("raise_error('broken') AS x")))
+    seen = []
+    for row in inc.results(spark.range(10**6), lambda: len(seen) >= 5):
+        seen.append(row.id)
+    assert seen == [0, 1, 2, 3, 4]
