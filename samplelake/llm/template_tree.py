@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,10 @@ SPACE = r"\s{2,}|[^\S ]"
 CONSTANT = r"(?<![^ ])(?!<\*>(?: |\z))[^ ]"
 
 
+#: Parts into which a line's tokens are cut, and tasks that share the lines of a template.
+PARTS, SHARES = 11, 8
+
+
 def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
     """A row for each line of ``min_tokens`` tokens or more, one of them constant: where it
     is, its leaf of the tree (token count and leading tokens), and its masked wording, as a
@@ -31,64 +37,67 @@ def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
     return kept.select("row", "doc_id", "line", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"), F.unhex(F.md5("wording")).alias("form"), "wording")
 
 
-def _segments(tokens: Column, leaf: Column, depth: int, similarity: float) -> Column:
-    """Hashes of the parts into which the tokens after the leading ones are cut: one part
-    more than an agreement of ``similarity`` allows tokens to differ, so that any two lines
-    of a leaf that agree so far have one part in common. None where no token may differ."""
+def _masks(tokens: Column, leaf: Column, depth: int, similarity: float) -> Column:
+    """(key, i, j) of each template that the line may be of: the tokens after the leading ones
+    are cut into up to ``PARTS`` parts, and one of them, or two, are variable, as long as a
+    share ``similarity`` of all tokens is constant. The key is a hash of the constant ones
+    and their places, so the lines of a template are those that share its key."""
     n = F.size(tokens)
-    rest, differ = n - depth, F.floor(n * (1 - similarity) + 1e-9).cast("int")
-    parts = F.least(differ + 1, rest)
+    rest = n - depth
+    parts, variable = F.least(F.lit(PARTS), rest), F.floor(n * (1 - similarity) + 1e-9).cast("int")
+
+    def begin(i: Column) -> Column:
+        return F.floor(i * rest / parts).cast("int")
+
+    def mask(i: Column) -> Callable[[Column], Column]:
+        def pair(j: Column) -> Column:
+            hidden = begin(i + 1) - begin(i) + F.when(j > i, begin(j + 1) - begin(j)).otherwise(0)
+            between = F.greatest(begin(j) - begin(i + 1), F.lit(0))
+            shown = F.slice(tokens, 1, begin(i) + depth), F.slice(tokens, begin(i + 1) + depth + 1, between), F.slice(tokens, begin(j + 1) + depth + 1, rest)
+            return F.when(hidden <= variable, F.struct(F.xxhash64(leaf, i, j, *shown).alias("key"), i.alias("i"), j.alias("j")))
 
-    def part(s: Column) -> Column:
-        begin, end = F.floor(s * rest / parts).cast("int"), F.floor((s + 1) * rest / parts).cast("int")
-        return F.xxhash64(leaf, s, F.slice(tokens, begin + depth + 1, end - begin))
+        return pair
 
-    return F.when((differ > 0) & (rest > 0), F.transform(F.sequence(F.lit(0), parts - 1), part))
+    every = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.transform(F.sequence(i, parts - 1), mask(i)))
+    return F.when((variable > 0) & (rest > 0), F.array_compact(F.flatten(every)))
 
 
 def recurring_lines(lines: DataFrame, depth: int, similarity: float, support: int) -> DataFrame:
     """(form, keeper) of the lines that recur: literally in two documents, or as a template
     in ``support``. ``keeper`` is the first document that has the template, or else the line.
 
-    A leaf has as many templates as its lines need. The lines of each part (see
-    :func:`_segments`) meet the part's seed, the line with the most occurrences (ties: the
-    earliest), and compare whole tokens with it; a line belongs to the best such seed that
-    it agrees with in a share ``similarity`` of the positions. The others are variable.
+    A leaf has as many templates as its lines share keys (see :func:`_masks`); no line
+    stands for others, and none is compared with another. A line that is of several goes to
+    the one with the most lines in documents (ties: the earliest), and of those that go to
+    one the first stays. Templates' documents are counted one by one: a form in fewer than
+    three has no others than its first and its last.
     """
-    place, last = F.struct("doc_id", "row", "line"), F.struct("doc_id", "row")
-    counted = lines.groupBy("leaf", "form").agg(F.min(place).alias("first"), F.max(last).alias("last"), F.count(F.lit(1)).alias("n"))
-    forms = staged(counted, "forms")
-    busy = forms.groupBy("leaf").agg(F.min("first.row").alias("a"), F.max("first.row").alias("b"), F.max("last.row").alias("c"), F.count(F.lit(1)).alias("k"))
-    busy = busy.filter("k > 1 AND (a <> b OR a <> c OR b <> c)").select("leaf")
-    rivals = staged(forms.join(busy, "leaf").select("leaf", "form", "first", "last", "n", F.struct((-F.col("n")).alias("n"), "first").alias("rank")), "rivals")
-    wanted = rivals.select("form", F.col("first.row").alias("row"), F.col("first.line").alias("line"))
-    wording = staged(lines.select("row", "line", "wording").join(wanted, ["row", "line"]).select("form", F.split("wording", " ").alias("tokens")), "wording")
-
-    cut = rivals.join(wording, "form").select("form", "rank", F.explode(_segments(F.col("tokens"), F.col("leaf"), depth, similarity)).alias("part"))
-    cut = staged(cut, "parts")
-    seeds = cut.groupBy("part").agg(F.min(F.struct("rank", "form")).alias("seed"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("part", "seed")
-    met = cut.join(seeds, "part").filter(F.col("form") != F.col("seed.form")).select("form", F.col("seed.form").alias("template"), F.col("seed.rank").alias("rank")).distinct()
-    shown = wording.select(F.col("form").alias("template"), F.col("tokens").alias("seen"))
-    pairs = met.join(wording, "form").join(shown, "template")
-    agreement = F.size(F.filter(F.zip_with("tokens", "seen", lambda a, b: a == b), lambda same: same)) / F.size("tokens")
-    near = pairs.filter(agreement >= similarity).groupBy("form").agg(F.min(F.struct("rank", "template")).alias("best")).select("form", F.col("best.template").alias("template"))
-    near = staged(near, "variants")
-
-    ends = rivals.select("form", "first", "last")
-    variants = ends.join(near, "form").select("template", "first", "last")
-    own = near.select("template").distinct().join(ends.withColumnRenamed("form", "template"), "template")
-    member = variants.unionByName(own)
-    docs = member.select("template", F.explode(F.array("first.row", "last.row")).alias("row")).distinct().groupBy("template").agg(F.count(F.lit(1)).alias("docs"))
-    firsts = member.groupBy("template").agg(F.min("first").alias("first"))
-    groups = docs.filter(F.col("docs") >= support).join(firsts, "template").select("template", F.col("first.row").alias("keeper"))
-    groups = staged(groups, "templates")
-
-    by_seed = near.join(groups, "template").select("form", F.col("keeper").alias("kept"))
-    by_self = groups.select(F.col("template").alias("form"), F.col("keeper").alias("held"))
-    again = forms.filter(F.col("first.row") != F.col("last.row")).select("form", F.col("first.row").alias("first"))
-    every = again.join(by_seed, "form", "full").join(by_self, "form", "full")
-    found = staged(every.select("form", F.coalesce("kept", "held", "first").alias("keeper")), "recurring")
-    discard(forms, rivals, wording, cut, near, groups)
+    place = F.min(F.struct("doc_id", "row", "line")).alias("first")
+    own = lines.groupBy("leaf", "form", "row").agg(place)
+    last = F.max(F.struct("first.doc_id", "first.row")).alias("last")
+    forms = staged(own.groupBy("leaf", "form").agg(F.min("first").alias("first"), last, F.count(F.lit(1)).alias("docs")), "forms")
+    busy = forms.groupBy("leaf").agg(F.count(F.lit(1)).alias("k"), F.sum("docs").alias("n")).filter((F.col("k") > 1) & (F.col("n") >= support)).select("leaf")
+    rivals = forms.join(busy, "leaf")
+    wanted = rivals.select("leaf", "form", "first", "last", "docs", F.col("first.row").alias("row"), F.col("first.line").alias("line"))
+    rivals = lines.select("row", "line", "wording").join(wanted, ["row", "line"])
+    masked = rivals.select("form", "first", "last", "docs", F.explode(_masks(F.split("wording", " "), F.col("leaf"), depth, similarity)).alias("m"))
+    share = F.pmod(F.xxhash64("form"), F.lit(SHARES)).cast("int")
+    masked = staged(masked.select("form", "first", "last", "docs", "m.*", share.alias("share")), "masks")
+
+    shared = masked.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum("docs").alias("n"), F.max("docs").alias("most"), F.min("first").alias("earliest"))
+    shared = shared.filter((F.col("k") > 1) & (F.col("n") >= support)).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    members = staged(masked.join(shared, ["key", "share"]), "members")
+    few = members.filter(F.col("most") < support).select("key", F.explode(F.array("first.row", "last.row")).alias("row"))
+    counted = few.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("there")).filter(F.col("there") >= support).select("key")
+    counted = counted.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    good = members.filter(F.col("most") >= support).unionByName(members.filter(F.col("most") < support).join(counted, ["key", "share"], "left_semi"))
+    rank = F.struct((-F.col("n")).alias("n"), "earliest", "i", "j", "key")
+    chosen = staged(good.groupBy("form", "share").agg(F.min(rank).alias("rank"), F.min("first").alias("first")).select("form", "share", F.col("rank.key").alias("key"), "first"), "chosen")
+    kept = chosen.groupBy("key").agg(F.min("first").alias("kept")).select("key", F.col("kept.row").alias("keeper")).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    by_template = chosen.join(kept, ["key", "share"]).select("form", F.col("keeper").alias("held"))
+    again = forms.filter("docs > 1").select("form", F.col("first.row").alias("again"))
+    found = staged(again.join(by_template, "form", "full").select("form", F.coalesce("held", "again").alias("keeper")), "recurring")
+    discard(forms, masked, members, chosen)
     return found
 
 
@@ -117,12 +126,12 @@ def drop_recurring_lines(
     but the first that has them (the least id), and n_lines and n_dropped added.
 
     Fields with a digit are variable; the tree's leaves are the number of tokens and the
-    first ``depth`` tokens; within a leaf, positions that differ from the line's template
-    are variable too (see :func:`recurring_lines`). A line that is the same but for fields
-    with digits recurs in two documents; one with other variable words recurs if its
-    template is in ``support``, so two sentences of like wording stay. Lines without a
-    constant token, or of fewer than ``min_tokens``, stay. A template in copies of one row,
-    same id and text, doesn't recur.
+    first ``depth`` tokens; within a leaf, lines that are the same but for one or two parts
+    have a template in which these are variable (see :func:`_masks`). A line that is the
+    same but for fields with digits recurs in two documents; one with other variable words
+    recurs if its template is in ``support``, so two sentences of like wording stay. Lines
+    without a constant token, or of fewer than ``min_tokens``, stay. A template in copies of
+    one row, same id and text, doesn't recur. Very long lines have as many parts as others.
 
     A null text counts as empty with one line and stays null; null ids are the least.
     Repeated rows are treated alike; an empty table gives no rows. Other columns stay as they
@@ -152,23 +161,20 @@ WITH lines AS (
 t AS (SELECT doc_id, line, string_split(trim(regexp_replace(masked, '\s+', ' ', 'g')), ' ') AS tok FROM lines),
 e AS (SELECT doc_id, line, tok, len(tok)::VARCHAR || ' ' || array_to_string(tok[1:3], ' ') AS leaf, array_to_string(tok, ' ') AS form
   FROM t WHERE len(list_filter(tok, lambda x: x <> '<*>' AND x <> '')) > 0),
-forms AS (SELECT leaf, form, any_value(tok) AS tok, count(*) AS n, min(doc_id) AS first_doc, max(doc_id) AS last_doc, min(doc_id * 1000000 + line) AS first_at FROM e GROUP BY leaf, form),
-busy AS (SELECT leaf FROM forms GROUP BY leaf HAVING count(*) > 1 AND min(first_doc) <> max(last_doc)),
-rivals AS (SELECT f.*, len(tok) - 3 AS rest, least(len(tok) // 5 + 1, len(tok) - 3) AS parts FROM forms f JOIN busy b ON f.leaf = b.leaf),
-cut AS (SELECT leaf, form, tok, n, first_at, rest, parts, unnest(range(parts)) AS s FROM rivals WHERE len(tok) >= 5),
-part AS (SELECT leaf, form, tok, n, first_at, s, tok[4 + (s * rest) // parts : 3 + ((s + 1) * rest) // parts] AS part FROM cut),
-seeds AS (SELECT leaf, s, part, form AS seed, tok AS seed_tok, n AS seed_n, first_at AS seed_at FROM (
-  SELECT *, row_number() OVER (PARTITION BY leaf, s, part ORDER BY n DESC, first_at) AS k FROM part) WHERE k = 1),
-met AS (SELECT DISTINCT p.form, p.tok, seed, seed_tok, seed_n, seed_at FROM part p JOIN seeds d ON p.leaf = d.leaf AND p.s = d.s AND p.part = d.part WHERE p.form <> seed),
-near AS (SELECT form, seed AS template FROM (
-  SELECT form, seed, row_number() OVER (PARTITION BY form ORDER BY seed_n DESC, seed_at) AS k FROM met
-  WHERE len(list_filter(list_zip(tok, seed_tok), lambda z: z[1] = z[2])) / len(tok) >= 0.8) WHERE k = 1),
-member AS (SELECT v.template, f.first_doc, f.last_doc FROM near v JOIN forms f ON v.form = f.form
-  UNION ALL SELECT v.template, f.first_doc, f.last_doc FROM (SELECT DISTINCT template FROM near) v JOIN forms f ON v.template = f.form),
-support AS (SELECT template, count(DISTINCT d) AS docs FROM (SELECT template, first_doc AS d FROM member UNION ALL SELECT template, last_doc FROM member) GROUP BY template HAVING count(DISTINCT d) >= 3),
-groups AS (SELECT m.template, min(first_doc) AS keeper FROM member m JOIN support s ON m.template = s.template GROUP BY m.template),
-found AS (SELECT f.form, coalesce(g.keeper, h.keeper, CASE WHEN f.first_doc <> f.last_doc THEN f.first_doc END) AS keeper
-  FROM forms f LEFT JOIN near v ON f.form = v.form LEFT JOIN groups g ON v.template = g.template LEFT JOIN groups h ON f.form = h.template),
+forms AS (SELECT leaf, form, any_value(tok) AS tok, count(DISTINCT doc_id) AS docs, min(doc_id) AS first_doc, max(doc_id) AS last_doc, min(doc_id * 1000000 + line) AS first_at FROM e GROUP BY leaf, form),
+cut AS (SELECT leaf, form, tok, docs, first_doc, last_doc, first_at, len(tok) - 3 AS rest, least(len(tok) - 3, 11) AS g FROM forms WHERE len(tok) >= 5),
+pair AS (SELECT *, (i * rest) // g AS bi, ((i + 1) * rest) // g AS ei, (j * rest) // g AS bj, ((j + 1) * rest) // g AS ej
+  FROM (SELECT *, unnest(range(i, g)) AS j FROM (SELECT *, unnest(range(g)) AS i FROM cut))),
+mask AS (SELECT form, docs, first_doc, last_doc, first_at, i, j,
+  leaf || chr(1) || i || ',' || j || chr(1) || array_to_string(tok[1:3 + bi], ' ') || chr(1) || array_to_string(tok[4 + ei:3 + bj], ' ') || chr(1) || array_to_string(tok[4 + ej:], ' ') AS key
+  FROM pair WHERE ei - bi + CASE WHEN j > i THEN ej - bj ELSE 0 END <= len(tok) // 5),
+shared AS (SELECT key, sum(docs) AS n, min(first_at) AS earliest FROM mask GROUP BY key HAVING count(*) > 1),
+support AS (SELECT key FROM (SELECT m.key, e.doc_id FROM mask m JOIN shared USING (key) JOIN e ON e.form = m.form) GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+chosen AS (SELECT form, key, first_at, first_doc FROM (
+  SELECT m.*, row_number() OVER (PARTITION BY form ORDER BY n DESC, earliest, i, j) AS k FROM mask m JOIN shared USING (key) JOIN support USING (key)) WHERE k = 1),
+kept AS (SELECT key, arg_min(first_doc, first_at) AS keeper FROM chosen GROUP BY key),
+found AS (SELECT f.form, coalesce(k.keeper, CASE WHEN f.docs > 1 THEN f.first_doc END) AS keeper
+  FROM forms f LEFT JOIN chosen c ON f.form = c.form LEFT JOIN kept k ON c.key = k.key),
 gone AS (SELECT e.doc_id, e.line FROM e JOIN found k ON e.form = k.form WHERE keeper IS NOT NULL AND e.doc_id <> k.keeper),
 parts AS (SELECT doc_id, unnest(range(len(l)))::BIGINT AS line, unnest(l) AS part FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))
 SELECT p.doc_id, count(*) AS n_lines, count(g.line) AS n_dropped,
