@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import stage
 from ..functions import text as tx
 from ..sources.table import Table, Version
 from .search import FREE_TEXT, ColumnFilter, SearchQuery
@@ -38,12 +39,20 @@ def _listed(entries: DataFrame) -> DataFrame:
     return lists.select("field", "gram", "block", F.col("e.offset").alias("offsets"), F.col("e.n").alias("counts"))
 
 
-def build(table: Table, rows: DataFrame, fields: Sequence[str] = FIELDS, buckets: int = 64, spread: int = 1) -> Version:
+def build(table: Table, rows: DataFrame, fields: Sequence[str] = FIELDS, buckets: int = 64, spread: int = 1, notes: dict[str, str] | None = None) -> Version:
     """Version 1 of an index: lists in buckets by their trigram; ``spread`` tasks write one."""
-    return table.create(postings(rows, fields), ["gram"], buckets, spread)
+    return table.create(postings(rows, fields), ["gram"], buckets, spread, notes)
 
 
-def update(table: Table, before: DataFrame, after: DataFrame, fields: Sequence[str] = FIELDS) -> Version:
+def rebuild(table: Table, rows: DataFrame, buckets: int = 64, fields: Sequence[str] = FIELDS, notes: dict[str, str] | None = None) -> Version:
+    """The next version, or the first, from all rows."""
+    if not table.exists():
+        return build(table, rows, fields, buckets, notes=notes)
+    new = stage(postings(rows, fields), "postings")
+    return table.change(new.select("gram").unionByName(table.read().select("gram")), lambda _: new, notes=notes)
+
+
+def update(table: Table, before: DataFrame, after: DataFrame, fields: Sequence[str] = FIELDS, notes: dict[str, str] | None = None) -> Version:
     """Follows a change: ``before`` are the changed and deleted rows as they were, ``after``
     the changed and new ones. Only buckets of their trigrams are read and written."""
     old, new = postings(before, fields), postings(after, fields)
@@ -56,7 +65,7 @@ def update(table: Table, before: DataFrame, after: DataFrame, fields: Sequence[s
         more = new.select("field", "gram", "block", F.explode(F.arrays_zip("offsets", "counts")).alias("e")).select("field", "gram", "block", F.col("e.offsets").alias("offset"), F.col("e.counts").alias("n"))
         return _listed(left.unionByName(more))
 
-    return table.change(old.select("gram").unionByName(new.select("gram")).distinct(), make)
+    return table.change(old.select("gram").unionByName(new.select("gram")).distinct(), make, notes=notes)
 
 
 def grams_of(words: str) -> list[str]:

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..cluster import stage
 from ..operators import index as ix
+from ..operators import postings as po
 from ..operators import stats as st
+from ..schema import SAMPLES, SCHEMA_VERSION, upgrade
 from ..sources import wav
 from ..sources.files import list_tree
 from ..sources.table import Table
@@ -33,28 +35,37 @@ class Run:
     version: int
 
 
-def index_folder(spark: SparkSession, roots: list[str], table: Table, id3: bool = False, force: bool = False, buckets: int = 64) -> Run:
+def index_folder(spark: SparkSession, roots: list[str], table: Table, id3: bool = False, force: bool = False, buckets: int = 64, text: Table | None = None) -> Run:
     """Brings a table of samples up to date with the folders under ``roots``.
 
     The listing is spread over tasks, and joined with the table's paths and mtimes; only new
     and changed files are opened. Their rows are written once, and counted while they are;
     then the touched buckets are committed. A file with an error stays as the table has it
     and is tried again by the next run; one that is gone from under a root goes. Names and
-    folders come from the path.
+    folders come from the path; ids are given in the order of new paths; marks and
+    embeddings stay. The text index ``text`` follows the same change, and is made anew if
+    it isn't of the version that was changed.
     """
     listed = list_tree(spark, roots)
     files = listed.filter("error IS NULL")
-    known = table.read().select("path", "mtime") if table.exists() else spark.createDataFrame([], "path string, mtime long")
+    began = table.version() if table.exists() else None
+    known = table.read(began).select("path", "mtime", "id") if began else spark.createDataFrame([], "path string, mtime long, id long")
     wanted = ix.to_read(files.select("path", "mtime"), known, force)
     watch = Observation()
     name = F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1)
     rows = wav.read_headers(wanted, id3).join(wanted, "path").withColumns({"name": name, "parent_folder": F.regexp_extract("path", "^(.*)/[^/]*$", 1)})
     read = stage(rows.observe(watch, *st.run_counts()), "headers")
     failed = listed.filter("error IS NOT NULL").count()
-    good = read.filter("error IS NULL").drop("error")
     counts = watch.get
-    if not table.exists():
+    good = read.filter("error IS NULL").drop("error").join(known.select("path", "id"), "path", "left")
+    top = known.agg(F.max("id")).first()[0] or 0
+    fresh = st.ranked(good.filter("id IS NULL").select("path"), [F.col("path")], "place").select("path", (F.col("place") + top).alias("new"))
+    good = good.join(fresh, "path", "left").withColumn("id", F.coalesce("id", "new"))
+    good = stage(upgrade(good.withColumn("marked", F.lit(False)), SCHEMA_VERSION).select(*SAMPLES.fieldNames()), "samples")
+    if began is None:
         done = table.create(good, ["path"], buckets)
+        if text is not None:
+            po.build(text, good, buckets=buckets, notes={"samples": "1"})
         return Run(counts["files_indexed"], counts["errors"] + failed, 0, done.number)
     gone = ix.vanished(known, files, roots)
     if failed > MOST_UNREAD:
@@ -64,7 +75,15 @@ def index_folder(spark: SparkSession, roots: list[str], table: Table, id3: bool
         unread = F.broadcast(listed.filter("error IS NOT NULL").select(F.concat("path", F.lit("/")).alias("folder")))
         gone = gone.join(unread, F.col("path").startswith(F.col("folder")), "left_anti")
     gone = stage(gone, "vanished")
-    done = table.change(good.select("path").unionByName(gone), lambda old: ix.upsert(ix.delete(old, gone), good, keep=(), order="mtime"))
+    touched = good.select("path").unionByName(gone)
+    before = table.read(began, table.buckets_of(touched, began)).join(touched, "path", "left_semi")
+    done = table.change(touched, lambda old: ix.upsert(ix.delete(old, gone), good, keep=("marked", "embedding"), order="mtime"))
+    if text is not None:
+        of, now = text.version().notes.get("samples") if text.exists() else None, {"samples": str(done.number)}
+        if of == str(began.number) and done.number == began.number + 1:
+            po.update(text, before, good, notes=now)
+        elif of != str(done.number):
+            po.rebuild(text, table.read(done), buckets, notes=now)
     return Run(counts["files_indexed"], counts["errors"] + failed, gone.count(), done.number)
 
 
