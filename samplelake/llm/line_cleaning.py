@@ -21,8 +21,13 @@ SYMBOLS = "#*$%&|<>"
 #: Phrases of lines that belong to a page and not to its text.
 BOILERPLATE = re.compile(
     r"(?i)all rights reserved|licensed under|released under the|general public license|copyright \(c\)|©|terms of (?:use|service)|privacy policy|"
-    r"cookie (?:policy|settings)|accept (?:all )?cookies|subscribe to our|sign (?:in|up) (?:to|for)|click here|enable javascript|share on (?:facebook|twitter)"
+    r"cookie (?:policy|settings)|accept (?:all )?cookies|subscribe to our|sign (?:in|up) (?:to|for)|click here|enable javascript|share on (?:facebook|twitter)|"
+    r"tous droits réservés|mentions légales|politique de confidentialité|conditions d['’]utilisation|accepter (?:tous )?les cookies|cliquez ici|abonnez-vous à|se connecter|"
+    r"alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|impressum|cookies akzeptieren|hier klicken|newsletter abonnieren|jetzt anmelden|"
+    r"todos los derechos reservados|política de privacidad|términos (?:de uso|y condiciones)|aviso legal|aceptar (?:todas las )?cookies|haga clic aquí|suscríbase a|iniciar sesión"
 )
+#: A line is boilerplate if one of so many of its words, or more, is in such a phrase.
+SHARE = 15
 NAVIGATION = re.compile(r"(?:^|\s)[|»›•·>](?=\s|$)")
 SHOUT = re.compile(r"!{2,}(?=\s|$)")
 NOISE = re.compile(r"([#*$%&|<>~^=_+\\])\1+(?=\s|$)")
@@ -69,7 +74,8 @@ def _pairs(codes: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
 
 def line_fails(line: str, words: list[str]) -> str | None:
     """The rule that a line with words fails, or None."""
-    if BOILERPLATE.search(line) and len(words) <= 40:
+    phrases = BOILERPLATE.findall(line)
+    if SHARE * sum(len(p.split()) for p in phrases) >= len(words) and phrases:
         return "boilerplate"
     if 5 * len(NAVIGATION.findall(line)) >= len(words):
         return "navigation"
@@ -112,7 +118,7 @@ def clean(text: str, most_lost: float = 0.5) -> tuple:
 def clean_documents(docs: DataFrame, most_lost: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Cleans every whole text line by line and judges what is left of it.
 
-    Each ``\\n``-split line with a word faces the rules: boilerplate phrases; navigation (a
+    Each ``\\n``-split line with a word faces the rules: boilerplate phrases (one of 15 words in one, or more); navigation (a
     separator for every five words or fewer); punctuation (no letter or digit at all, three
     of ten words shouted or followed by runs of symbols, or up to three words without an
     end mark). Lines that fail are removed. A document is rejected if it fails the base

@@ -166,6 +166,40 @@ def test_line_rules():
     assert not lc.clean("\n".join(["Buy!! now!! cheap!! pills!! here!! today!! only!! once!! more!! sale!!", good]))[6]
 
 
+def kept_by_hand(text, most_lost=0.5):
+    """The verdict by counting, word by word."""
+    words, lost = re.findall(WORD, text), 0
+    for line in text.split("\n"):
+        own = re.findall(WORD, line)
+        if not own:
+            continue
+        marks = [m for m in own if m.strip("\u2028\u2029\xa0\x1c\x1d\x1e\x1f\x85") in list("|»›•·>")]
+        shouts = [w for w in own if w.endswith("!!")]
+        noise = [w for w in own if len(w) > 1 and w[-1] == w[-2] and w[-1] in "#*$%&|<>~^=_+\\"]
+        phrases = sum(len(m.group().split()) for m in lc.BOILERPLATE.finditer(line))
+        silent = not any(c.isalnum() for c in line)
+        open_end = line.rstrip()[-1:] not in tuple(".!?…:;\"'”’»)]。！？") and len(own) <= 3
+        if phrases and 15 * phrases >= len(own) or 5 * len(marks) >= len(own) or silent or 10 * len(shouts) >= 3 * len(own) or 10 * len(noise) >= 3 * len(own) or open_end:
+            lost += sum(map(len, own))
+    return len(words) >= 10 and 100 * repeated_by_hand(words) <= 20 * len(words) and lost <= most_lost * sum(map(len, words))
+
+
+def test_verdicts_by_hand(docs, texts):
+    kept = {r.doc_id: r.kept for r in lc.clean_documents(docs).collect()}
+    assert {i for i, k in kept.items() if k != kept_by_hand(texts[i] or "")} == set()
+    assert 0 < sum(kept.values()) < len(kept)
+
+
+@pytest.mark.parametrize("phrase", ["All rights reserved", "Tous droits réservés", "Alle Rechte vorbehalten", "Todos los derechos reservados"])
+def test_boilerplate_is_a_share_of_the_line(phrase):
+    """The rule has no length from which it stops: more phrases make longer lines boilerplate."""
+    n = len(phrase.split())
+    for k in (1, 3):
+        for extra, bad in ((14 * n * k, True), (14 * n * k + 1, False)):
+            line = " ".join([phrase + "."] * k + ["word"] * extra) + "."
+            assert (lc.line_fails(line, line.split()) == "boilerplate") == bad
+
+
 def test_templates_generalise(spark):
     rows = [(1, "User 17 logged in from host alpha\nAn own line of the first text"), (2, "User 99 logged in from host beta\nSome other line of the second text"), (3, "User 3 logged in from host alpha\nx")]
     out = {r.doc_id: (r.text, r.n_dropped) for r in drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -381,6 +415,15 @@ def test_compact_windows_cover_every_run():
         assert any(a <= i and i + 10 <= b and i <= c < i + 10 and values[c] == run.min() for a, c, b in found)
 
 
+def test_windows_of_distinct_values():
+    """The nodes by doubling and a stack are the tree's."""
+    deal = np.random.default_rng(4)
+    for n, least in ((10, 10), (47, 46), (200, 7), (500, 1), (3000, 46)):
+        values = deal.permutation(10**6)[: 3 * n].reshape(3, n).astype(np.uint64)
+        for row, found in zip(values, cw.distinct_windows(values, least)):
+            assert sorted(zip(*found)) == sorted(cw.compact_windows(row, least))
+
+
 def test_base_scores_and_model(spark):
     sf = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
