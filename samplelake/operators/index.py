@@ -73,6 +73,20 @@ def refresh_table(table: Table, listing: DataFrame, force: bool = False, roots:
     return table.change(new.select("path").unionByName(gone), lambda old: upsert(delete(old, gone), new))
 
 
+def merge_sources(first: DataFrame, others: list[tuple[DataFrame, Column, dict[str, str]]]) -> DataFrame:
+    """``first`` with its empty texts filled from other sources, the earlier before the later.
+
+    A source is a table, the key of ``first`` that its column ``key`` must equal (a key once
+    at most), and the names its columns fill.
+    """
+    out = first
+    for i, (source, key, names) in enumerate(others):
+        own = source.select(F.col("key").alias(f"_key{i}"), *[F.col(c).alias(f"_{i}_{c}") for c in names])
+        out = out.join(own, key == F.col(f"_key{i}"), "left")
+        out = out.withColumns({to: tx.first_filled(to, f"_{i}_{c}") for c, to in names.items()}).select(*first.columns)
+    return out
+
+
 def put(store: DataFrame, key: str, value: Column) -> DataFrame:
     """A key-value table with the key's value replaced."""
     row = store.sparkSession.range(1).select(F.lit(key).alias("key"), value.alias("value"))

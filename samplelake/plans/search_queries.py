@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..cluster import shared
 from ..functions import text as tx
+from ..operators import index as ix
 from ..operators import postings as po
 from ..operators import search as se
 from ..operators import stats as st
@@ -44,10 +45,17 @@ def s02(v):
     return source(v.docs.select("path")).unionByName(source(v.samples.select("path")))
 
 
-@query("s09_source_merge", """SELECT id, coalesce(nullif(vendor, ''), genre_id) AS vendor, coalesce(nullif(category, ''), sound_id) AS category,
- coalesce(nullif(comment, ''), description) AS description FROM samples""")
+@query("s09_source_merge", """WITH r AS (SELECT lower(file_path) AS k, arg_min(artist, id) AS artist, arg_min(description, id) AS description FROM ref GROUP BY 1),
+ d AS (SELECT id, path, category FROM docs)
+ SELECT s.id, coalesce(nullif(s.vendor, ''), r.artist, '') AS vendor, coalesce(nullif(s.category, ''), d.category, '') AS category,
+ coalesce(nullif(s.comment, ''), nullif(r.description, ''), d.path, '') AS comment
+ FROM samples s LEFT JOIN r ON lower(s.parent_folder) = r.k LEFT JOIN d ON s.id = d.id""")
 def s09(v):
-    return v.samples.select("id", *[tx.first_filled(a, b).alias(n) for n, a, b in (("vendor", "vendor", "genre_id"), ("category", "category", "sound_id"), ("description", "comment", "description"))])
+    """The samples' own fields, then a reference table's by folder, then a text source's by id."""
+    ref = v.ref.groupBy(F.lower("file_path").alias("key")).agg(*[F.min_by(c, "id").alias(c) for c in ("artist", "description")])
+    docs = v.docs.select(F.col("id").alias("key"), "category", "path")
+    sources = [(ref, F.lower("parent_folder"), {"artist": "vendor", "description": "comment"}), (docs, F.col("id"), {"category": "category", "path": "comment"})]
+    return ix.merge_sources(v.samples.select("id", "parent_folder", "vendor", "category", "comment"), sources).select("id", "vendor", "category", "comment")
 
 
 @query("s11_audio_info", """SELECT id, CASE WHEN channels * bit_depth // 8 = 0 THEN 0 ELSE total_samples // (channels * bit_depth // 8) END AS total,

@@ -1,4 +1,4 @@
-"""Samples of WAV files as rows: byte ranges of the data chunk are the unit of work."""
+"""Samples of WAV and AIFF files as rows: byte ranges of the data chunk are the unit of work."""
 
 from __future__ import annotations
 
@@ -25,6 +25,10 @@ def shape_of(path: str) -> tuple:
     """Where a file's samples are and what they look like; the file's own end counts."""
     try:
         with opened(path) as f:
+            if path.lower().endswith((".aif", ".aiff")):
+                a = wav.scan_aiff(f)
+                size = min(a["size"], a["frames"] * a["block_align"], max(f.size() - a["begin"], 0))
+                return path, a["kind"], a["channels"], a["sample_rate"], a["block_align"], a["bit_depth"], a["begin"], size // a["block_align"], None
             found = wav.scan_chunks(f)
             if found.fmt is None or found.data is None:
                 raise ValueError("no fmt or no data chunk")
@@ -83,7 +87,7 @@ def ranges_of(known: DataFrame, total: str, size: int, each: int) -> DataFrame:
 
 
 def read_frames(files: DataFrame, mix: bool = False, range_frames: int = 1 << 20, each: int = 4) -> DataFrame:
-    """(path, channel, frame, s, x) of WAV files (path): every sample of every channel, or of
+    """(path, channel, frame, s, x) of WAV and AIFF files (path): every sample of every channel, or of
     their mean (``mix``, channel 0); x in -1 to 1, s as 16 bits.
 
     A file is cut into ranges of ``range_frames`` frames; ``each`` of them are a task, so
@@ -115,8 +119,8 @@ def read_frames(files: DataFrame, mix: bool = False, range_frames: int = 1 << 20
 
 
 def frames_of(spark: SparkSession, roots: list[str], **options) -> DataFrame:
-    """:func:`read_frames` of all WAV files under ``roots``."""
-    return read_frames(list_tree(spark, roots).filter("error IS NULL AND lower(path) LIKE '%.wav'"), **options)
+    """:func:`read_frames` of all WAV and AIFF files under ``roots``."""
+    return read_frames(list_tree(spark, roots).filter(r"error IS NULL AND lower(path) RLIKE '\\.(wav|aiff?)$'"), **options)
 
 
 def resampled(shape: dict, rate: Resampler, first: int, count: int) -> np.ndarray:

@@ -5,12 +5,13 @@ from __future__ import annotations
 import os
 import tomllib
 import warnings
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.markers import EMPTY
+from ..schema import COLUMNS, DEFAULT_COLUMNS
 
 
 def read_marks(spark: SparkSession, path: str) -> DataFrame:
@@ -42,17 +43,40 @@ def read_markers(spark: SparkSession, path: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Settings:
-    """Location and limits of an engine; values out of range are brought into it."""
+    """Location, limits and choices of an engine; values out of range are brought into it,
+    unknown ones are the default."""
 
     location: str = ""
     threshold: int = 64
     limit: int = 50
     source: str = "index"
+    columns: tuple[str, ...] = tuple(DEFAULT_COLUMNS)
+    marks_file: str = "marks.csv"
+    sort: str = "name"
+    descending: bool = False
+    peak_measure: str = "rms"
+    peak_channel: str = "mix"
+    step_small: float = 0.1
+    step_large: float = 1.0
+    reset_volume: bool = True
+    cents_coarse: float = 100.0
+    cents_fine: float = 1.0
+    bpm_coarse: float = 1.0
+    bpm_fine: float = 0.1
+
+
+#: Least and greatest values.
+RANGES = {
+    "threshold": (0, 32767), "limit": (1, 500), "step_small": (0.01, 100.0), "step_large": (0.01, 100.0), "cents_coarse": (0.01, 1200.0), "cents_fine": (0.01, 100.0),
+    "bpm_coarse": (0.01, 100.0), "bpm_fine": (0.001, 10.0),
+}
+CHOICES = {"sort": COLUMNS, "peak_measure": ("rms", "peak"), "peak_channel": ("mix", "left")}
 
 
 def settings(flag: str | None = None, environment: str = "SAMPLELAKE_DB", file: str | None = None, default: str = "samples.parquet", files_only: bool = False) -> Settings:
-    """The location by flag, then environment, then default. Without an index, or if asked,
-    files are searched. A malformed settings file warns and leaves the defaults."""
+    """The location by flag, then environment, then file, then default; all else by the file.
+    Without an index, or if asked, files are searched. A malformed settings file warns and
+    leaves the defaults, and so does a value of another type."""
     values: dict = {}
     if file and os.path.exists(file):
         try:
@@ -62,5 +86,20 @@ def settings(flag: str | None = None, environment: str = "SAMPLELAKE_DB", file:
             warnings.warn(f"{file}: {error}", stacklevel=2)
     location = flag or os.environ.get(environment) or values.get("location") or default
     there = "://" in location or os.path.exists(location)
-    clamp = lambda v, lo, hi: max(lo, min(hi, int(v)))
-    return Settings(location, clamp(values.get("threshold", 64), 0, 32767), clamp(values.get("limit", 50), 1, 500), "files" if files_only or not there else "index")
+    chosen: dict = {}
+    for known in fields(Settings):
+        name, value = known.name, values.get(known.name)
+        if value is None or name in ("location", "source"):
+            continue
+        kind = type(known.default)
+        if name == "columns" and isinstance(value, list):
+            kept = tuple(c for c in value if c in COLUMNS)
+            chosen |= {"columns": kept} if kept else {}
+        elif kind in (int, float) and isinstance(value, int | float) and not isinstance(value, bool):
+            low, high = RANGES[name]
+            chosen[name] = max(low, min(high, kind(value)))
+        elif isinstance(value, kind) and value in CHOICES.get(name, (value,)):
+            chosen[name] = value
+        else:
+            warnings.warn(f"{file}: {name} can't be {value!r}", stacklevel=2)
+    return Settings(location, source="files" if files_only or not there else "index", **chosen)

@@ -176,6 +176,12 @@ def samples(raw: bytes, fmt: dict) -> np.ndarray:
     n, bits = fmt["channels"], fmt["bit_depth"]
     width = bits // 8
     raw = raw[: len(raw) // (n * width) * n * width] if width and n else b""
+    if fmt["kind"] in ("pcm-be", "pcm-le") and width:
+        parts = np.frombuffer(raw, "u1").reshape(-1, width)
+        raw = (parts[:, ::-1] if fmt["kind"] == "pcm-be" else parts).tobytes()
+        if bits == 8:
+            return (np.frombuffer(raw, "i1") / 128).reshape(-1, n)
+        return samples(raw, fmt | {"kind": "pcm"})
     if fmt["kind"] == "float" and bits == 32:
         x = np.frombuffer(raw, "<f4").astype(float)
     elif fmt["kind"] == "pcm" and bits == 8:
@@ -205,6 +211,38 @@ def channel(frames: np.ndarray, mode: str) -> np.ndarray:
     return frames[:, 0] if mode == "left" else frames.mean(1)
 
 
+def scan_aiff(f: BinaryIO) -> dict:
+    """Sample format and place of an AIFF or uncompressed AIFF-C file: big-endian integers,
+    of 8 bits signed ones too."""
+    f.seek(0)
+    head = f.read(12)
+    if len(head) < 12 or head[:4] != b"FORM" or head[8:] not in (b"AIFF", b"AIFC"):
+        raise ValueError("not an AIFF file")
+    end, at, out = 8 + struct.unpack(">I", head[4:8])[0], 12, {}
+    while at + 8 <= end:
+        f.seek(at)
+        raw = f.read(8)
+        if len(raw) < 8:
+            break
+        name, size = raw[:4], struct.unpack(">I", raw[4:])[0]
+        if name == b"COMM":
+            body = f.read(min(size, 22))
+            channels, frames, bits, exponent, mantissa = struct.unpack(">hIhHQ", body[:18])
+            coding = body[18:22] if head[8:] == b"AIFC" else b"NONE"
+            kind = {b"NONE": "pcm-be", b"twos": "pcm-be", b"sowt": "pcm-le"}.get(coding)
+            if kind is None:
+                raise ValueError(f"AIFF-C coding {coding!r} isn't decoded")
+            rate = round(mantissa * 2.0 ** ((exponent & 0x7FFF) - 16446)) if exponent else 0
+            out |= {"kind": kind, "channels": channels, "sample_rate": rate, "block_align": (bits + 7) // 8 * channels, "bit_depth": (bits + 7) // 8 * 8, "frames": frames}
+        elif name == b"SSND":
+            skip = struct.unpack(">I", f.read(4))[0]
+            out |= {"begin": at + 16 + skip, "size": size - 8 - skip}
+        at += 8 + size + size % 2
+    if "begin" not in out or "frames" not in out or out["block_align"] <= 0:
+        raise ValueError("no COMM or no SSND chunk")
+    return out
+
+
 def read_metadata(f: BinaryIO, id3: bool = False) -> dict:
     """All fields of a file's header; INFO fills what bext leaves empty, then ID3 if asked."""
     found = scan_chunks(f)
@@ -243,12 +281,18 @@ def _row(path: str, meta: dict, error: str | None = None) -> tuple:
 
 
 def header_row(path: str, open_file: Callable[[], BinaryIO], id3: bool) -> tuple:
-    """A file's fields, or what is wrong with it; files other than RIFF have a path only."""
-    if not path.lower().endswith(".wav"):
+    """A file's fields, or what is wrong with it. Of files other than RIFF, AIFF ones have
+    their audio facts, as of 16 bits; the others have a path only."""
+    kind = path.lower().rpartition(".")[2]
+    if kind not in ("wav", "aif", "aiff"):
         return _row(path, {})
     try:
         with open_file() as f:
-            return _row(path, read_metadata(f, id3))
+            if kind == "wav":
+                return _row(path, read_metadata(f, id3))
+            found = scan_aiff(f)
+            seconds = found["frames"] / found["sample_rate"] if found["sample_rate"] else 0.0
+            return _row(path, {"total_samples": found["frames"], "duration": seconds, "sample_rate": found["sample_rate"], "bit_depth": 16, "channels": found["channels"]})
     except (OSError, ValueError, struct.error) as raised:
         return _row(path, {}, f"{type(raised).__name__}: {raised}")
 

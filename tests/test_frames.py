@@ -140,3 +140,30 @@ def test_prepared_signals(spark, folder, tmp_path):
     assert abs(spectrum.argmax() * 48000 / 24000 - 441) < 3
     assert out[paths[1]].signal is None and out[paths[1]].error is None
     assert out[paths[2]].signal is None and "ValueError" in out[paths[2]].error
+
+
+def aiff(values, rate=44100, bits=16, coding=None):
+    values = np.asarray(values).reshape(len(values), -1)
+    order = "little" if coding == b"sowt" else "big"
+    raw = b"".join(int(v).to_bytes(bits // 8, order, signed=True) for v in values.ravel())
+    exponent = rate.bit_length() - 1
+    extended = struct.pack(">HQ", 16383 + exponent, rate << 63 - exponent)
+    part = lambda name, body: name + struct.pack(">I", len(body)) + body + b"\0" * (len(body) % 2)
+    comm = struct.pack(">hIh", values.shape[1], len(values), bits) + extended + (coding or b"")
+    body = (b"AIFC" if coding else b"AIFF") + part(b"NAME", b"odd") + part(b"COMM", comm) + part(b"SSND", struct.pack(">II", 0, 0) + raw)
+    return b"FORM" + struct.pack(">I", len(body)) + body
+
+
+@pytest.mark.parametrize(("bits", "coding"), [(8, None), (16, None), (24, b"NONE"), (16, b"sowt"), (32, None)])
+def test_aiff(spark, tmp_path, bits, coding):
+    from samplelake.sources import wav
+
+    values = np.random.default_rng(bits).integers(-(2 ** (bits - 1)), 2 ** (bits - 1), (333, 2))
+    (tmp_path / "a.aif").write_bytes(aiff(values, 44100, bits, coding))
+    (tmp_path / "b.aiff").write_bytes(b"FORM")
+    (tmp_path / "c.aiff").write_bytes(aiff(values, 44100, bits, b"ulaw"))
+    rows = {(r.frame, r.channel): r.x for r in fr.frames_of(spark, [str(tmp_path)], range_frames=100).collect()}
+    assert rows == {(i, c): values[i, c] / 2 ** (bits - 1) for i in range(333) for c in (0, 1)}
+    read = {r.path.rsplit("/", 1)[1]: r for r in wav.read_headers(fl.list_tree(spark, [str(tmp_path)])).collect()}
+    assert (read["a.aif"].total_samples, read["a.aif"].sample_rate, read["a.aif"].bit_depth, read["a.aif"].channels, read["a.aif"].vendor) == (333, 44100, 16, 2, "")
+    assert read["a.aif"].duration == pytest.approx(333 / 44100) and read["b.aiff"].error and "ulaw" in read["c.aiff"].error

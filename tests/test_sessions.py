@@ -92,6 +92,18 @@ def test_settings(tmp_path, monkeypatch):
     assert tb.settings().location == str(tmp_path)
 
 
+def test_every_setting(tmp_path):
+    file = tmp_path / "s.toml"
+    file.write_text('columns = ["bpm", "nope", "vendor"]\nsort = "bpm"\ndescending = true\npeak_channel = "left"\nstep_small = 0\ncents_coarse = 5000\nreset_volume = false\nmarks_file = "/m.csv"\nbpm_fine = 2')
+    got = tb.settings("x", file=str(file))
+    assert got.columns == ("bpm", "vendor") and (got.sort, got.descending, got.peak_channel, got.marks_file, got.reset_volume) == ("bpm", True, "left", "/m.csv", False)
+    assert (got.step_small, got.cents_coarse, got.bpm_fine, got.step_large) == (0.01, 1200.0, 2.0, 1.0)
+    file.write_text('sort = "nope"\nlimit = "many"\ncolumns = []')
+    with pytest.warns(UserWarning):
+        got = tb.settings("x", file=str(file))
+    assert got == tb.settings("x")
+
+
 def test_codebook_and_embedding_bytes():
     book = np.arange(128 * 256 * 4, dtype=np.float32).reshape(128, 256, 4)
     assert (si.unpack_codebook(si.pack_codebook(book)) == book).all()
