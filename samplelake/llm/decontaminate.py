@@ -43,26 +43,48 @@ def benchmark_windows(benchmark: DataFrame, width: int, literals: int, item_id:
     """Windows of ``width`` template tokens (shorter items: one, of all), each anchored at its
     longest plain word. Those with fewer than ``literals`` plain words are used where an
     item has no other, and then must agree in their values too: raw_code is not 0. Of the
-    windows of an item with the same template the first stands for all."""
-    items = benchmark.select(F.col(item_id).alias("item_id"), plain(text_or_empty(text)).alias("text")).filter("item_id IS NOT NULL").distinct()
-    items = items.select("item_id", F.split("text", " ").alias("raw"), forms(F.col("text")).alias("form"))
+    windows of an item with the same template the first stands for all, and of the items
+    with the same template and the same slots alike the least (see :func:`item_classes`)."""
+    items = benchmark_items(benchmark, item_id, text)
+    classes = item_classes(items)
     span = F.least(F.lit(width), F.size("raw"))
     starts = items.select("item_id", "raw", "form", span.alias("span"), F.explode(F.sequence(F.lit(0), F.size("raw") - span)).alias("at"))
     cut = starts.select("item_id", "at", "span", F.expr("slice(form, at + 1, span)").alias("form"), F.expr("slice(raw, at + 1, span)").alias("raw"))
     cut = cut.withColumn("words", F.filter("form", lambda t: ~is_slot(t))).filter(F.expr("size(words) > 0 AND words[0] <> ''"))
     cut = cut.withColumn("few", F.size("words") < F.least(F.lit(literals), F.col("span")))
     bare = cut.groupBy("item_id").agg(F.min("few").alias("bare"))
-    kept = cut.join(bare, "item_id").filter("bare = few")
+    kept = cut.join(bare, "item_id").filter("bare = few").join(classes, "item_id").filter("bare OR item_id = first_id")
+    kept = kept.withColumn("n_items", F.when(F.col("bare"), F.lit(1)).otherwise(F.col("n_items")).cast("long"))
     longest = F.array_max(F.transform(F.col("words"), lambda t: F.struct(F.length(t).alias("n"), t.alias("word"))))["word"]
     kept = kept.withColumn("anchor", longest).select(
         "item_id", "at", "span", F.xxhash64("anchor").alias("anchor"), (F.array_position("form", F.col("anchor")) - 1).cast("int").alias("offset"),
         F.xxhash64(codes(F.col("form"))).alias("code"), F.when(F.col("few"), F.xxhash64(lowered(F.col("raw")))).otherwise(F.lit(0)).cast("long").alias("raw_code"),
-        F.col("form").alias("item_form"), F.col("raw").alias("item_raw"),
+        F.col("form").alias("item_form"), F.col("raw").alias("item_raw"), "n_items",
     )
-    first = F.struct("at", "span", "anchor", "offset", "item_form", "item_raw")
+    first = F.struct("at", "span", "anchor", "offset", "item_form", "item_raw", "n_items")
     return kept.groupBy("item_id", "code", "raw_code").agg(F.min(first).alias("w")).select("item_id", "code", "raw_code", "w.*")
 
 
+def benchmark_items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
+    """(item_id, raw, form) of the distinct items that have an id."""
+    items = benchmark.select(F.col(item_id).alias("item_id"), plain(text_or_empty(text)).alias("text")).filter("item_id IS NOT NULL").distinct()
+    return items.select("item_id", F.split("text", " ").alias("raw"), forms(F.col("text")).alias("form"))
+
+
+def item_classes(items: DataFrame) -> DataFrame:
+    """(item_id, first_id, n_items): items with the same template whose slots are alike, that
+    is, equal or not in the same places. A document is as consistent with one of them as
+    with another, so the least item of a class stands for all."""
+    pairs = items.withColumn("pairs", F.zip_with("form", "raw", lambda f, r: F.concat(f, F.lit("\x01"), r)))
+    alike = F.transform("form", lambda f, i: F.when(is_slot(f), F.array_position("pairs", F.col("pairs")[i])).otherwise(F.lit(0)))
+    named = pairs.select("item_id", F.md5(F.concat(F.concat_ws(" ", "form"), F.lit(":"), F.concat_ws(",", F.transform(alike, lambda x: x.cast("string"))))).alias("digest"))
+    least = named.groupBy("digest").agg(F.min("item_id").alias("first_id"), F.count_distinct("item_id").alias("n_items"))
+    own = named.join(least, "digest").groupBy("item_id").agg(F.min("first_id").alias("first_id"), F.max("n_items").alias("n_items"), F.count(F.lit(1)).alias("texts"))
+    # an id with several texts stands for itself
+    alone = F.col("texts") > 1
+    return own.select("item_id", F.when(alone, F.col("item_id")).otherwise(F.col("first_id")).alias("first_id"), F.when(alone, 1).otherwise(F.col("n_items")).alias("n_items"))
+
+
 def lowered(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.lower(t))
 
@@ -74,17 +96,18 @@ def matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
     windows nor the texts are shuffled.
     """
     cleaned = docs.select("row", "doc_id", plain("text").alias("text"))
-    tokens = cleaned.select("row", "doc_id", "text", codes(forms(F.col("text"))).alias("codes"))
+    # a text is cut into tokens once, and each match takes its own few of them
+    tokens = cleaned.select("row", "doc_id", F.split("text", " ").alias("raw"), F.split(F.lower("text"), " ").alias("values"), codes(forms(F.col("text"))).alias("codes"))
     # the outer form keeps the optimizer from computing the codes once more in a filter
-    placed = tokens.select("row", "doc_id", "text", "codes", F.posexplode_outer("codes").alias("pos", "anchor"))
+    placed = tokens.select("row", "doc_id", "raw", "values", "codes", F.posexplode_outer("codes").alias("pos", "anchor"))
     near = placed.join(windows, "anchor").withColumn("begin", F.col("pos") - F.col("offset") + 1)
     inside = near.filter((F.col("begin") >= 1) & (F.col("begin") + F.col("span") - 1 <= F.size("codes")))
-    # no lambda here: the join's condition must stay in generated code, or each token copies its text
+    # no lambda here: the join's condition must stay in generated code, or each token copies its arrays
     cut = "slice({}, greatest(begin, 1), span)"
     by_form = F.xxhash64(F.expr(cut.format("codes"))) == F.col("code")
-    by_value = F.xxhash64(F.expr(cut.format("split(lower(text), ' ')"))) == F.col("raw_code")
+    by_value = F.xxhash64(F.expr(cut.format("values"))) == F.col("raw_code")
     same = inside.filter(F.when(F.col("raw_code") == 0, by_form).otherwise(by_value))
-    return same.select("row", "doc_id", "code", "raw_code", "begin", F.expr(cut.format("split(text, ' ')")).alias("raw"))
+    return same.select("row", "doc_id", "code", "raw_code", "begin", F.expr(cut.format("raw")).alias("raw"))
 
 
 def find_leaks(
@@ -101,7 +124,7 @@ def find_leaks(
     item_id: str = "item_id",
     item_text: str = "text",
 ) -> DataFrame:
-    """(row, doc_id, item_id, n_windows, item_windows, slot_share) of leaked items.
+    """(row, doc_id, item_id, n_items, n_windows, item_windows, slot_share) of leaked items.
 
     Items and documents become templates: letter and digit runs, where numbers, units and
     capitalised words are typed slots (a word all in capitals is lower-cased). A document
@@ -140,11 +163,11 @@ def find_leaks(
     by = found.groupBy("row", "doc_id", "item_id", "range").agg(F.collect_set("at").alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("pairs"))
     values = F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"].alias("kind"), p["item"].alias("item"))))
     share = F.when(F.size("pairs") == 0, 1.0).otherwise(F.size(values) / F.size("pairs"))
-    sizes = windows.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows"))
+    sizes = windows.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows"), F.max("n_items").alias("n_items"))
     counted = by.select("row", "doc_id", "item_id", F.size("at").cast("long").alias("n_windows"), share.alias("slot_share")).join(sizes, "item_id")
     good = counted.filter((F.col("n_windows") >= coverage * F.col("item_windows")) & (F.col("slot_share") >= consistency))
-    best = good.groupBy("row", "doc_id", "item_id", "item_windows").agg(F.max(F.struct("n_windows", "slot_share")).alias("best"))
-    return best.select("row", "doc_id", "item_id", "best.n_windows", "item_windows", "best.slot_share")
+    best = good.groupBy("row", "doc_id", "item_id", "item_windows", "n_items").agg(F.max(F.struct("n_windows", "slot_share")).alias("best"))
+    return best.select("row", "doc_id", "item_id", "n_items", "best.n_windows", "item_windows", "best.slot_share")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -157,13 +180,15 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 ORACLE = r"""
 WITH w AS (
   SELECT item_id AS id, string_split(trim(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS raw FROM benchmark),
-wf AS (SELECT id, raw, list_transform(raw, lambda t: CASE WHEN regexp_matches(t, '^[0-9]') THEN '<n>' WHEN regexp_matches(t, '^\p{Lu}\p{Ll}') THEN '<name>' WHEN lower(t) IN (__UNITS__) THEN '<unit>' ELSE lower(t) END) AS form FROM w),
-ws AS (SELECT id, unnest(range(len(raw) - least(8, len(raw)) + 1)) AS pos, least(8, len(raw)) AS span, raw, form FROM wf),
-wc AS (SELECT id, pos, span, form[pos + 1:pos + span] AS form, raw[pos + 1:pos + span] AS raw FROM ws),
+wf AS (SELECT *, min(id) OVER (PARTITION BY form, alike) AS first_id, count(*) OVER (PARTITION BY form, alike) AS n_items FROM (SELECT *, list_transform(range(1, len(raw) + 1),
+  lambda i: CASE WHEN form[i] IN ('<n>', '<name>', '<unit>') THEN list_position(list_transform(range(1, len(raw) + 1), lambda j: form[j] || chr(1) || raw[j]), form[i] || chr(1) || raw[i]) ELSE 0 END) AS alike
+  FROM (SELECT id, raw, list_transform(raw, lambda t: CASE WHEN regexp_matches(t, '^[0-9]') THEN '<n>' WHEN regexp_matches(t, '^\p{Lu}\p{Ll}') THEN '<name>' WHEN lower(t) IN (__UNITS__) THEN '<unit>' ELSE lower(t) END) AS form FROM w) x) y),
+ws AS (SELECT id, first_id, n_items, unnest(range(len(raw) - least(8, len(raw)) + 1)) AS pos, least(8, len(raw)) AS span, raw, form FROM wf),
+wc AS (SELECT id, first_id, n_items, pos, span, form[pos + 1:pos + span] AS form, raw[pos + 1:pos + span] AS raw FROM ws),
 wl AS (SELECT *, list_filter(form, lambda t: t NOT IN ('<n>', '<name>', '<unit>')) AS words FROM wc),
 wk AS (SELECT *, len(words) < least(4, span) AS few, min(len(words) < least(4, span)) OVER (PARTITION BY id) AS bare FROM wl WHERE words[1] <> ''),
 win AS (SELECT id AS item_id, array_to_string(form, ' ') AS code, CASE WHEN few THEN lower(array_to_string(raw, ' ')) END AS exact, min(pos) AS pos,
-  arg_min(form, pos) AS form, arg_min(raw, pos) AS raw FROM wk WHERE few = bare GROUP BY ALL),
+  arg_min(form, pos) AS form, arg_min(raw, pos) AS raw, CASE WHEN few THEN 1 ELSE n_items END AS n_items FROM wk WHERE few = bare AND (bare OR id = first_id) GROUP BY ALL),
 spans AS (SELECT DISTINCT len(form) AS span FROM win),
 d AS (SELECT doc_id, string_split(trim(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS raw FROM documents),
 df AS (SELECT doc_id, raw, list_transform(raw, lambda t: CASE WHEN regexp_matches(t, '^[0-9]') THEN '<n>' WHEN regexp_matches(t, '^\p{Lu}\p{Ll}') THEN '<name>' WHEN lower(t) IN (__UNITS__) THEN '<unit>' ELSE lower(t) END) AS form FROM d),
@@ -176,10 +201,10 @@ m AS (SELECT *, unnest([(floor(away / 16) * 2)::BIGINT, (floor((away + 8) / 16)
 counted AS (SELECT doc_id, item_id, g, count(DISTINCT pos) AS n_windows FROM m GROUP BY ALL),
 slot AS (SELECT DISTINCT doc_id, item_id, g, f[k] AS kind, i[k] AS v, d[k] AS x FROM (SELECT *, unnest(range(1, len(f) + 1)) AS k FROM m) WHERE f[k] IN ('<n>', '<name>', '<unit>')),
 share AS (SELECT doc_id, item_id, g, count(DISTINCT (kind, v)) / count(*) AS slot_share FROM slot GROUP BY ALL),
-sizes AS (SELECT item_id, count(*) AS item_windows FROM win GROUP BY item_id),
-good AS (SELECT c.doc_id, c.item_id, n_windows, item_windows, round(coalesce(slot_share, 1.0), 6) AS slot_share
+sizes AS (SELECT item_id, count(*) AS item_windows, max(n_items) AS n_items FROM win GROUP BY item_id),
+good AS (SELECT c.doc_id, c.item_id, n_items, n_windows, item_windows, round(coalesce(slot_share, 1.0), 6) AS slot_share
   FROM counted c JOIN sizes s ON c.item_id = s.item_id LEFT JOIN share h ON c.doc_id = h.doc_id AND c.item_id = h.item_id AND c.g = h.g
   WHERE n_windows >= 0.3 * item_windows AND coalesce(slot_share, 1.0) >= 0.75)
-SELECT doc_id, item_id, n_windows, item_windows, slot_share FROM good
+SELECT doc_id, item_id, n_items, n_windows, item_windows, slot_share FROM good
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_windows DESC, slot_share DESC) = 1
 """.replace("__UNITS__", ", ".join(f"'{u}'" for u in UNITS))
