@@ -40,26 +40,34 @@ def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
 def _masks(tokens: Column, leaf: Column, depth: int, similarity: float) -> Column:
     """(key, i, j) of each template that the line may be of: the tokens after the leading ones
     are cut into up to ``PARTS`` parts, and one of them, or two, are variable, as long as a
-    share ``similarity`` of all tokens is constant. The key is a hash of the constant ones
-    and their places, so the lines of a template are those that share its key."""
-    n = F.size(tokens)
-    rest = n - depth
-    parts, variable = F.least(F.lit(PARTS), rest), F.floor(n * (1 - similarity) + 1e-9).cast("int")
+    share ``similarity`` of all tokens is constant. The key is a hash of the leaf, of which
+    parts are variable and of the constant ones, so the lines of a template are those that
+    share its key. Each part is hashed once."""
+
+    def cut(t: Column) -> Column:
+        rest = F.size(t) - depth
+        parts = F.least(F.lit(PARTS), rest)
+        begin = lambda i: F.floor(i * rest / parts).cast("int")
+        return F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.struct((begin(i + 1) - begin(i)).alias("size"), F.xxhash64(i, F.slice(t, begin(i) + depth + 1, begin(i + 1) - begin(i))).alias("hash")))
 
-    def begin(i: Column) -> Column:
-        return F.floor(i * rest / parts).cast("int")
+    def masks(p: Column) -> Column:
+        variable = F.floor(F.size(tokens) * (1 - similarity) + 1e-9).cast("int")
+        whole = F.aggregate(p, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(x["hash"]))
 
-    def mask(i: Column) -> Callable[[Column], Column]:
-        def pair(j: Column) -> Column:
-            hidden = begin(i + 1) - begin(i) + F.when(j > i, begin(j + 1) - begin(j)).otherwise(0)
-            between = F.greatest(begin(j) - begin(i + 1), F.lit(0))
-            shown = F.slice(tokens, 1, begin(i) + depth), F.slice(tokens, begin(i + 1) + depth + 1, between), F.slice(tokens, begin(j + 1) + depth + 1, rest)
-            return F.when(hidden <= variable, F.struct(F.xxhash64(leaf, i, j, *shown).alias("key"), i.alias("i"), j.alias("j")))
+        def mask(i: Column) -> Callable[[Column], Column]:
+            def pair(j: Column) -> Column:
+                hidden = p[i]["size"] + F.when(j > i, p[j]["size"]).otherwise(0)
+                shown = whole.bitwiseXOR(p[i]["hash"]).bitwiseXOR(F.when(j > i, p[j]["hash"]).otherwise(F.lit(0).cast("long")))
+                return F.when(hidden <= variable, F.struct(F.xxhash64(leaf, i, j, shown).alias("key"), i.alias("i"), j.alias("j")))
 
-        return pair
+            return pair
 
-    every = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.transform(F.sequence(i, parts - 1), mask(i)))
-    return F.when((variable > 0) & (rest > 0), F.array_compact(F.flatten(every)))
+        last = F.size(p) - 1
+        return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.transform(F.sequence(i, last), mask(i)))))
+
+    bound = F.transform(F.transform(F.array(tokens), cut), masks)[0]  # parts are cut once, masks read them
+    n = F.size(tokens)
+    return F.when((F.floor(n * (1 - similarity) + 1e-9) > 0) & (n > depth), bound)
 
 
 def recurring_lines(lines: DataFrame, depth: int, similarity: float, support: int) -> DataFrame:
@@ -72,28 +80,29 @@ def recurring_lines(lines: DataFrame, depth: int, similarity: float, support: in
     one the first stays. Templates' documents are counted one by one: a form in fewer than
     three has no others than its first and its last.
     """
-    place = F.min(F.struct("doc_id", "row", "line")).alias("first")
-    own = lines.groupBy("leaf", "form", "row").agg(place)
-    last = F.max(F.struct("first.doc_id", "first.row")).alias("last")
-    forms = staged(own.groupBy("leaf", "form").agg(F.min("first").alias("first"), last, F.count(F.lit(1)).alias("docs")), "forms")
+    own = lines.groupBy("leaf", "form", "row").agg(F.min("doc_id").alias("doc_id"), F.min("line").alias("line"))
+    first, last = F.min(F.struct("doc_id", "row", "line")).alias("first"), F.max(F.struct("doc_id", "row")).alias("last")
+    forms = staged(own.groupBy("leaf", "form").agg(first, last, F.count(F.lit(1)).alias("docs")), "forms")
     busy = forms.groupBy("leaf").agg(F.count(F.lit(1)).alias("k"), F.sum("docs").alias("n")).filter((F.col("k") > 1) & (F.col("n") >= support)).select("leaf")
-    rivals = forms.join(busy, "leaf")
-    wanted = rivals.select("leaf", "form", "first", "last", "docs", F.col("first.row").alias("row"), F.col("first.line").alias("line"))
+    wanted = forms.join(busy, "leaf").select("leaf", "form", "docs", F.col("first.row").alias("row"), F.col("first.line").alias("line"))
     rivals = lines.select("row", "line", "wording").join(wanted, ["row", "line"])
-    masked = rivals.select("form", "first", "last", "docs", F.explode(_masks(F.split("wording", " "), F.col("leaf"), depth, similarity)).alias("m"))
-    share = F.pmod(F.xxhash64("form"), F.lit(SHARES)).cast("int")
-    masked = staged(masked.select("form", "first", "last", "docs", "m.*", share.alias("share")), "masks")
-
-    shared = masked.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum("docs").alias("n"), F.max("docs").alias("most"), F.min("first").alias("earliest"))
-    shared = shared.filter((F.col("k") > 1) & (F.col("n") >= support)).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
-    members = staged(masked.join(shared, ["key", "share"]), "members")
-    few = members.filter(F.col("most") < support).select("key", F.explode(F.array("first.row", "last.row")).alias("row"))
-    counted = few.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("there")).filter(F.col("there") >= support).select("key")
-    counted = counted.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
-    good = members.filter(F.col("most") >= support).unionByName(members.filter(F.col("most") < support).join(counted, ["key", "share"], "left_semi"))
+    masked = rivals.select("form", "docs", F.explode(_masks(F.split("wording", " "), F.col("leaf"), depth, similarity)).alias("m"))
+    masked = staged(masked.select("form", "docs", "m.*", F.pmod(F.xxhash64("form"), F.lit(SHARES)).cast("int").alias("share")), "masks")
+
+    every = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share")
+    shared = masked.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum("docs").alias("n"), F.max("docs").alias("most"))
+    shared = shared.filter((F.col("k") > 1) & (F.col("n") >= support)).select("key", "n", "most", every)
+    members = masked.join(shared, ["key", "share"]).select("form", "key", "share", "i", "j", "n", "most")
+    members = staged(members.join(forms.select("form", "first", "last"), "form"), "members")
+    few = members.filter(F.col("most") < support)
+    rows = few.select("key", F.explode(F.array("first.row", "last.row")).alias("row")).distinct()
+    counted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("there")).filter(F.col("there") >= support).select("key", every)
+    good = members.filter(F.col("most") >= support).unionByName(few.join(counted, ["key", "share"], "left_semi"))
+    earliest = good.groupBy("key").agg(F.min("first").alias("earliest")).select("key", "earliest", every)
     rank = F.struct((-F.col("n")).alias("n"), "earliest", "i", "j", "key")
-    chosen = staged(good.groupBy("form", "share").agg(F.min(rank).alias("rank"), F.min("first").alias("first")).select("form", "share", F.col("rank.key").alias("key"), "first"), "chosen")
-    kept = chosen.groupBy("key").agg(F.min("first").alias("kept")).select("key", F.col("kept.row").alias("keeper")).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    best = good.join(earliest, ["key", "share"]).groupBy("form", "share").agg(F.min(rank).alias("rank"), F.min("first").alias("first"))
+    chosen = staged(best.select("form", "share", F.col("rank.key").alias("key"), "first"), "chosen")
+    kept = chosen.groupBy("key").agg(F.min("first").alias("kept")).select("key", F.col("kept.row").alias("keeper"), every)
     by_template = chosen.join(kept, ["key", "share"]).select("form", F.col("keeper").alias("held"))
     again = forms.filter("docs > 1").select("form", F.col("first.row").alias("again"))
     found = staged(again.join(by_template, "form", "full").select("form", F.coalesce("held", "again").alias("keeper")), "recurring")
