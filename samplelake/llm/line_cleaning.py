@@ -18,14 +18,18 @@ SCHEMA = (
 )
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SYMBOLS = "#*$%&|<>"
-#: Phrases of lines that belong to a page and not to its text.
-BOILERPLATE = re.compile(
-    r"(?i)all rights reserved|licensed under|released under the|general public license|copyright \(c\)|©|terms of (?:use|service)|privacy policy|"
-    r"cookie (?:policy|settings)|accept (?:all )?cookies|subscribe to our|sign (?:in|up) (?:to|for)|click here|enable javascript|share on (?:facebook|twitter)|"
-    r"tous droits réservés|mentions légales|politique de confidentialité|conditions d['’]utilisation|accepter (?:tous )?les cookies|cliquez ici|abonnez-vous à|se connecter|"
-    r"alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|impressum|cookies akzeptieren|hier klicken|newsletter abonnieren|jetzt anmelden|"
-    r"todos los derechos reservados|política de privacidad|términos (?:de uso|y condiciones)|aviso legal|aceptar (?:todas las )?cookies|haga clic aquí|suscríbase a|iniciar sesión"
-)
+#: Phrases, in lower case, of lines that belong to a page and not to its text.
+PHRASES = (
+    "all rights reserved", "licensed under", "released under the", "general public license", "copyright (c)", "©", "terms of use", "terms of service", "privacy policy",
+    "cookie policy", "cookie settings", "accept cookies", "accept all cookies", "subscribe to our", "sign in to", "sign in for", "sign up to", "sign up for", "click here",
+    "enable javascript", "share on facebook", "share on twitter",
+    "tous droits réservés", "mentions légales", "politique de confidentialité", "conditions d'utilisation", "conditions d’utilisation", "accepter les cookies",
+    "accepter tous les cookies", "cliquez ici", "abonnez-vous à", "se connecter",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "impressum", "cookies akzeptieren", "hier klicken", "newsletter abonnieren", "jetzt anmelden",
+    "todos los derechos reservados", "política de privacidad", "términos de uso", "términos y condiciones", "aviso legal", "aceptar cookies", "aceptar las cookies",
+    "aceptar todas las cookies", "haga clic aquí", "suscríbase a", "iniciar sesión",
+)
+WORDS_IN = {p: len(p.split()) for p in PHRASES}
 #: A line is boilerplate if one of so many of its words, or more, is in such a phrase.
 SHARE = 15
 NAVIGATION = re.compile(r"(?:^|\s)[|»›•·>](?=\s|$)")
@@ -72,11 +76,19 @@ def _pairs(codes: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
     return np.unique(codes * n + ids, return_inverse=True)[1]
 
 
-def line_fails(line: str, words: list[str]) -> str | None:
-    """The rule that a line with words fails, or None."""
-    phrases = BOILERPLATE.findall(line)
-    if SHARE * sum(len(p.split()) for p in phrases) >= len(words) and phrases:
-        return "boilerplate"
+def phrases_of(text: str) -> list[str]:
+    """The phrases that a text has: few have any, so that lines needn't look for all."""
+    low = text.lower()
+    return [p for p in PHRASES if p in low]
+
+
+def line_fails(line: str, words: list[str], phrases: list[str]) -> str | None:
+    """The rule that a line with words fails, or None; ``phrases`` are those to look for."""
+    if phrases:
+        low = line.lower()
+        inside = sum(low.count(p) * WORDS_IN[p] for p in phrases)
+        if inside and SHARE * inside >= len(words):
+            return "boilerplate"
     if 5 * len(NAVIGATION.findall(line)) >= len(words):
         return "navigation"
     n = len(words)
@@ -96,7 +108,7 @@ def clean(text: str, most_lost: float = 0.5) -> tuple:
     base_failed = n_words < 10 or 100 * n_repeat > 20 * n_words
     seen: set[str] = set()
     dup = removed = lines = lost = 0
-    left = []
+    left, phrases = [], phrases_of(text)
     for line in text.split("\n"):
         own = words_of(line)
         if not own:
@@ -106,7 +118,7 @@ def clean(text: str, most_lost: float = 0.5) -> tuple:
         if line in seen:
             dup += 1
         seen.add(line)
-        if line_fails(line, own):
+        if line_fails(line, own, phrases):
             removed += 1
             lost += sum(map(len, own))
         else:
