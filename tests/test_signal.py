@@ -91,3 +91,33 @@ def test_program_frames(spark):
         assert sorted(map(tuple, mk.program_frames(programs, run).collect())) == sorted(want)
         runs = mk.program_runs(programs, run).collect()
         assert sum(r.n for r in runs) == len(want) and all(0 < r.n <= run for r in runs)
+
+
+def test_program_blocks_play_every_frame(spark):
+    rows = [(1, [(0, 10, 2, False), (3, 7, 255, True), (5, 5, 1, False)]), (2, [(0, 1, 1, True)]), (3, [])]
+    programs = spark.createDataFrame(rows, "path long, program array<struct<lo:bigint,hi:bigint,reps:int,reversed:boolean>>")
+    for run in (1, 3, 65536):
+        blocks = {}
+        for path, slot, rep, pos, frame in mk.program_frames(programs, run).collect():
+            blocks.setdefault((path, slot, rep, pos // run), []).append((pos, frame))
+        want = []
+        for (path, slot, rep, _), played in blocks.items():
+            played.sort()
+            frames = [f for _, f in played]
+            places = sum(f * (i + 1) for i, f in enumerate(frames))
+            want.append((path, slot, rep, played[0][0], frames[0], len(frames), min(frames), max(frames), sum(frames), places))
+        assert sorted(map(tuple, mk.program_blocks(programs, run).collect())) == sorted(want)
+
+
+def test_program_query_plays_every_frame(spark):
+    """The query's work is that of its frames: none is left to a shorter description."""
+    from samplelake.plans import registry
+
+    from .oracle import SF
+
+    registry.load()
+    blocks = registry.QUERIES["c43_program_frames"](spark, SF)
+    total = blocks.agg(F.sum("n").alias("n"), F.sum(F.col("high") - F.col("low") + 1).alias("span")).first()
+    program = registry.QUERIES["c27_program"](spark, SF)
+    turns = F.when(F.col("reps") == 255, 1).otherwise(F.col("reps"))
+    assert total.n == total.span == program.agg(F.sum((F.col("hi") - F.col("lo")) * turns).alias("n")).first().n
