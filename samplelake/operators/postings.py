@@ -16,7 +16,9 @@ from .stats import trigrams
 
 FIELDS = (*FREE_TEXT, "name")
 #: Ids of a block: a list's entries are offsets within it, and a list has so many at most.
-BLOCK = 65_536
+BLOCK = 4096
+#: Rows whose lists a task makes, and rows whose lists the tasks of one share write, about.
+TASK, SHARE = 8192, 500_000
 #: The entry under which a field's rows have their numbers of trigrams.
 LENGTH = ""
 #: Trigrams whose lists are intersected, and ids that go into a filter, at most.
@@ -24,14 +26,19 @@ RAREST, FEW = 3, 10_000
 
 
 def postings(rows: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
-    """(field, gram, block, offsets, counts): in each block of 65 536 ids, which have the
-    trigram in the field (ASCII lower case) and how often; ``LENGTH`` has all of them."""
+    """(field, gram, block, offsets, counts): in each block of 4096 ids, which have the
+    trigram in the field (ASCII lower case) and how often; ``LENGTH`` has all of them.
+
+    The rows are dealt by their blocks to a number of tasks that grows with them, and a task
+    makes its blocks' lists whole: what it holds doesn't grow with the table."""
     wide = F.array(*[F.struct(F.lit(f).alias("field"), trigrams(f).alias("grams")) for f in fields])
-    texts = rows.select("id", F.explode(wide).alias("x")).select("id", "x.field", "x.grams").filter(F.size("grams") > 0)
-    block, offset = F.expr(f"id div {BLOCK}").alias("block"), F.expr(f"CAST(id % {BLOCK} AS INT)").alias("offset")
-    grams = texts.select("field", F.explode("grams").alias("gram"), block, offset).groupBy("field", "gram", "block", "offset").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    whole = texts.select("field", F.lit(LENGTH).alias("gram"), block, offset, F.size("grams").alias("n"))
-    return _listed(grams.unionByName(whole))
+    tasks = max(1, -(-rows.count() // TASK))  # stated, since by size alone they would be too few
+    near = rows.select("id", *fields, F.expr(f"id div {BLOCK}").alias("block")).repartitionByRange(tasks, "block")
+    texts = near.select("id", "block", F.explode(wide).alias("x")).select("id", "block", "x.field", "x.grams").filter(F.size("grams") > 0)
+    each = F.transform("grams", lambda g: F.struct(g.alias("gram"), F.lit(1).alias("n")))
+    whole = F.array(F.struct(F.lit(LENGTH).alias("gram"), F.size("grams").alias("n")))
+    entries = texts.select("field", "block", F.expr(f"CAST(id % {BLOCK} AS INT)").alias("offset"), F.explode(F.concat(each, whole)).alias("e"))
+    return _listed(entries.groupBy("field", "e.gram", "block", "offset").agg(F.sum("e.n").cast("int").alias("n")))
 
 
 def _listed(entries: DataFrame) -> DataFrame:
@@ -39,9 +46,14 @@ def _listed(entries: DataFrame) -> DataFrame:
     return lists.select("field", "gram", "block", F.col("e.offset").alias("offsets"), F.col("e.n").alias("counts"))
 
 
-def build(table: Table, rows: DataFrame, fields: Sequence[str] = FIELDS, buckets: int = 64, spread: int = 1, notes: dict[str, str] | None = None) -> Version:
-    """Version 1 of an index: lists in buckets by their trigram; ``spread`` tasks write one."""
-    return table.create(postings(rows, fields), ["gram"], buckets, spread, notes)
+def build(table: Table, rows: DataFrame, fields: Sequence[str] = FIELDS, buckets: int = 64, spread: int = 0, notes: dict[str, str] | None = None) -> Version:
+    """Version 1 of an index: lists in buckets by their trigram; ``spread`` tasks write one,
+    by default as many as the rows ask for."""
+    return table.create(postings(rows, fields), ["gram"], buckets, spread or _spread(rows), notes)
+
+
+def _spread(rows: DataFrame) -> int:
+    return max(1, -(-rows.count() // SHARE))
 
 
 def rebuild(table: Table, rows: DataFrame, buckets: int = 64, fields: Sequence[str] = FIELDS, notes: dict[str, str] | None = None) -> Version:
@@ -49,7 +61,7 @@ def rebuild(table: Table, rows: DataFrame, buckets: int = 64, fields: Sequence[s
     if not table.exists():
         return build(table, rows, fields, buckets, notes=notes)
     new = stage(postings(rows, fields), "postings")
-    return table.change(new.select("gram").unionByName(table.read().select("gram")), lambda _: new, notes=notes)
+    return table.change(new.select("gram").unionByName(table.read().select("gram")), lambda _: new, _spread(rows), notes)
 
 
 def update(table: Table, before: DataFrame, after: DataFrame, fields: Sequence[str] = FIELDS, notes: dict[str, str] | None = None) -> Version:

@@ -108,7 +108,7 @@ class Table:
         folder = uuid.uuid4().hex
         placed = rows.withColumn(BUCKET, bucket(keys, buckets))
         share = F.pmod(F.xxhash64(*rows.columns if spread > 1 else keys), F.lit(spread))
-        placed.repartition(buckets, BUCKET, share).write.partitionBy(BUCKET).parquet(f"{self.root}/data/{folder}")
+        placed.repartition(buckets * spread, BUCKET, share).write.partitionBy(BUCKET).parquet(f"{self.root}/data/{folder}")
         system, where = file_system(self.spark, f"{self.root}/data/{folder}")
         names = [s.getPath().getName() for s in system.listStatus(where)] if system.exists(where) else []
         return {int(n.split("=")[1]): f"{folder}/{n}" for n in names if n.startswith(f"{BUCKET}=")}

@@ -79,3 +79,13 @@ def test_changes_are_followed(spark, made, tmp_path):
     now = samples.filter("id NOT IN (5, 65501, 299, 2)").unionByName(after)
     fresh = sorted(map(tuple, po.postings(now).collect()))
     assert sorted(map(tuple, table.read().select("field", "gram", "block", "offsets", "counts").collect())) == fresh
+
+
+def test_lists_are_made_by_tasks_that_grow_with_the_rows(spark):
+    """A task makes the lists of some blocks, whatever the table's size, and a bucket's file
+    isn't one task's alone."""
+    n = 9 * po.BLOCK
+    rows = spark.range(n).select("id", F.concat(F.lit("ring "), F.col("id").cast("string")).alias("name"))
+    lists = po.postings(rows, ["name"]).withColumn("task", F.spark_partition_id())
+    assert lists.groupBy("task").agg(F.count_distinct("block").alias("blocks")).agg(F.max("blocks")).first()[0] <= 3
+    assert lists.filter(F.col("gram") == po.LENGTH).agg(F.sum(F.size("offsets"))).first()[0] == n
