@@ -89,3 +89,12 @@ def test_lists_are_made_by_tasks_that_grow_with_the_rows(spark):
     lists = po.postings(rows, ["name"]).withColumn("task", F.spark_partition_id())
     assert lists.groupBy("task").agg(F.count_distinct("block").alias("blocks")).agg(F.max("blocks")).first()[0] <= 3
     assert lists.filter(F.col("gram") == po.LENGTH).agg(F.sum(F.size("offsets"))).first()[0] == n
+
+
+def test_tasks_that_write_an_index_grow_with_its_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(po, "SHARE", 1000)
+    rows = spark.range(8000).select("id", F.lit("ring").alias("name"))
+    table = Table(spark, str(tmp_path / "t"))
+    po.build(table, rows, ["name"], buckets=2)
+    assert len(table.read().inputFiles()) > 2
+    assert table.read().filter(F.col("gram") == "rin").agg(F.sum(F.size("offsets"))).first()[0] == 8000
