@@ -315,6 +315,33 @@ def test_recall_of_edited_copies(spark):
     assert all(got[i] == i for i in range(2000, 2080))
 
 
+def test_large_buckets_lose_no_link(spark):
+    """Families near the threshold, whose texts share a header: classes with buckets that are
+    large from three nodes on are those of all pairs that share a sample."""
+    rng, rows = np.random.default_rng(11), []
+    for f in range(6):
+        family = [f"f{f}_{i}" for i in range(100)]
+        for i in range(40):
+            words = edited(rng, family, 0.06 + 0.1 * i / 40, f"g{f}_{i}")
+            rows.append((100 * f + i, " ".join([f"h{x}" for x in range(12)] + words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got, want = ({r.doc_id: r.class_id for r in om.near_duplicates(docs, full=n).collect()} for n in (2, 10**6))
+    assert got == want
+
+
+def test_rare_words_meet_in_all_pairs_of_enough_common_words(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, rng.integers(1, 30)) % 12) for _ in range(150)]
+    rows = spark.createDataFrame([(bytes([i]), t) for i, t in enumerate(texts)], "row binary, text string")
+    bags, shown = [Counter(t.split()) for t in texts], {}
+    for row, code in om.rare_words(rows, 0.8, 5).collect():
+        shown.setdefault(row[0], set()).add(code)
+    for i in range(150):
+        for j in range(i):
+            if (bags[i] & bags[j]).total() >= 0.8 * max(bags[i].total(), bags[j].total()):
+                assert shown[i] & shown[j]
+
+
 def test_recall_by_similarity(spark):
     """Lone pairs of 200 words, 100 each with an eighth and with 15 % of the words replaced,
     with twice the samples."""
