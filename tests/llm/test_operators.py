@@ -437,6 +437,36 @@ def test_passage_within_a_frequent_line(spark):
     assert len({r.doc_id // 2 for r in got}) >= 90 and all(r.doc_id // 2 == r.other_id // 2 for r in got)
 
 
+def test_longer_passages_within_a_large_group(spark):
+    """80 texts share 70 words, and pairs of them one more at either end."""
+    rng = np.random.default_rng(8)
+
+    def own(n):
+        return [f"w{x}" for x in rng.integers(0, 10**7, n)]
+
+    licence, rows = [f"h{i}" for i in range(70)], []
+    for i in range(40):
+        shared = own(1) + licence + own(1)
+        rows += [(2 * i + j, " ".join(own(60) + shared + own(60))) for j in (0, 1)]
+    got = {}
+    for r in cw.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    assert all(set(range(60, 132)) <= got[i] for i in range(80))
+    assert len(got) == 80
+
+
+def test_frames_are_the_runs_around_a_place(spark):
+    """All runs of a window that hold its place, whatever is around them."""
+    text = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(b"a", " ".join(text)), (b"b", " ".join(["x", "y"] + text[6:]))], "row binary, text string")
+    nodes = spark.createDataFrame([(1, b"a"), (2, b"b")], "node long, row binary")
+    windows = spark.createDataFrame([(1, 12 << 32 | 5 << 16 | 10), (2, 8 << 32 | 8 << 16 | 3)], "node long, place long")
+    frames = cw.frames_of(windows, nodes, docs, 1, 6).collect()
+    keys = [{r.key for r in frames if r.node == n} for n in (1, 2)]
+    assert [len(x) for x in keys] == [6, 4] and len(keys[0] & keys[1]) == 4
+    assert {tuple(r) for r in cw.same_frames(spark.createDataFrame(frames), 1).collect()} == {(1, 2)}
+
+
 def test_windows_of_a_value_meet_in_parts(spark):
     """A value's rows are the same however few are held at a time."""
     rows = [(k, n, n, 0) for k in range(30) for n in range(k % 7)] + [(99, n // 2, n, 0) for n in range(50)] + [(98, 5, n, 0) for n in range(9)]
