@@ -342,6 +342,25 @@ def test_rare_words_meet_in_all_pairs_of_enough_common_words(spark):
                 assert shown[i] & shown[j]
 
 
+def test_rest_of_a_bucket_is_what_can_be_similar(spark):
+    """60 texts share half of their words and have the others from 300, and each has a copy
+    with a tenth of the words replaced: these pairs are left, and hardly any others."""
+    rng, rows = np.random.default_rng(6), []
+    for i in range(60):
+        base = [f"p{x}" for x in range(60)] + [f"c{x}" for x in rng.integers(0, 300, 60)]
+        rows += [(bytes([i, j]), " ".join(edited(rng, base, 0.1, f"e{i}") if j else base)) for j in (0, 1)]
+    texts = spark.createDataFrame(rows, "row binary, text string")
+    hot = spark.createDataFrame([(k, r, 120) for r, _ in rows for k in range(3)], "key long, row binary, size int")
+    known = spark.createDataFrame([], "node binary, label binary")
+    got = {(bytes(r.a), bytes(r.b)) for r in om._rest(hot, known, texts, 0.8).collect()}
+    bags = [(r, Counter(t.split())) for r, t in rows]
+    want = {(x, y) for x, a in bags for y, b in bags if x < y and (a & b).total() >= 96}
+    assert {(bytes([i, 0]), bytes([i, 1])) for i in range(60)} <= want <= got and len(got) < 200
+    same = spark.createDataFrame([(bytes([i, j]), bytes([i % 2, 0])) for i in range(60) for j in (0, 1)], "node binary, label binary")
+    across = {(x, y) for x, y in want if x[0] % 2 != y[0] % 2}
+    assert across <= {(bytes(r.a), bytes(r.b)) for r in om._rest(hot, same, texts, 0.8).collect()}
+
+
 def test_recall_by_similarity(spark):
     """Lone pairs of 200 words, 100 each with an eighth and with 15 % of the words replaced,
     with twice the samples."""
