@@ -361,6 +361,26 @@ def test_rest_of_a_bucket_is_what_can_be_similar(spark):
     assert across <= {(bytes(r.a), bytes(r.b)) for r in om._rest(hot, same, texts, 0.8).collect()}
 
 
+
+def test_little_goes_with_a_rare_word(spark, monkeypatch):
+    rng, seen = np.random.default_rng(9), {}
+    data = [(bytes([0, i]), " ".join(f"w{x}" for x in rng.integers(0, 60, 150))) for i in range(24)]
+    texts = spark.createDataFrame(data, "row binary, text string")
+    known = spark.createDataFrame([], "node binary, label binary")
+    hot = spark.createDataFrame([(k, row, 150) for row, _ in data for k in range(9)], "key long, row binary, size int")
+    write = om.staged
+
+    def staged(df, name):
+        out = write(df, name)
+        seen[name] = out.columns, max((len(v) for r in out.limit(50).collect() for v in r if isinstance(v, list)), default=0)
+        return out
+
+    monkeypatch.setattr(om, "staged", staged)
+    om._rest(hot, known, texts, 0.8).collect()
+    columns, longest = seen["rare"]
+    assert "code" in columns and "keys" not in columns and longest <= 8
+    assert seen["profiles"][1] >= om.BINS  # a row for each text has the rest
+
 def test_recall_by_similarity(spark):
     """Lone pairs of 200 words, 100 each with an eighth and with 15 % of the words replaced,
     with twice the samples."""
