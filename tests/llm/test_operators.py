@@ -532,6 +532,21 @@ def test_windows_of_distinct_values():
             assert sorted(zip(*found)) == sorted(cw.compact_windows(row, least))
 
 
+def test_windows_of_many_texts_at_once():
+    """The same as each text's own, whatever lies beside it, and where least values are tied."""
+    rng, least = np.random.default_rng(3), 10
+    sizes = np.r_[10, 11, 10, rng.integers(10, 200, 60)]
+    values = np.stack([rng.permutation(10 * sizes.sum())[: sizes.sum()].astype(np.uint64) + np.uint64(1) for _ in range(3)])
+    found = sorted(zip(*(x.tolist() for x in cw.windows_together(values, sizes, least))))
+    starts = np.cumsum(sizes) - sizes
+    want = [(r, i, b + s, p + s, e + s) for r in range(3) for i, (s, n) in enumerate(zip(starts.tolist(), sizes.tolist())) for b, p, e in cw.compact_windows(values[r, s : s + n], least)]
+    assert found == sorted(want)
+    values[:] = values % np.uint64(400)  # many values several times, least ones too
+    found = sorted(zip(*(x.tolist() for x in cw.windows_together(values, sizes, least))))
+    want = [(r, i, b + s, p + s, e + s) for r in range(3) for i, (s, n) in enumerate(zip(starts.tolist(), sizes.tolist())) for b, p, e in cw.compact_windows(values[r, s : s + n] + np.uint64(0), least)]
+    assert found == sorted(want)
+
+
 def test_base_scores_and_model(spark):
     sf = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
