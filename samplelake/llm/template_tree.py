@@ -20,6 +20,8 @@ CONSTANT = r"(?<![^ ])(?!<\*>(?: |\z))[^ ]"
 
 #: Parts into which a line's tokens are cut, and tasks that share the lines of a template.
 PARTS, SHARES = 11, 8
+#: Bits of the sieve that keeps most lines from a join.
+SIEVE = 1 << 24
 
 
 def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
@@ -70,6 +72,16 @@ def _masks(tokens: Column, leaf: Column, depth: int, similarity: float) -> Colum
     return F.when((F.floor(n * (1 - similarity) + 1e-9) > 0) & (n > depth), bound)
 
 
+def _sifted(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``lines`` at the places (row, line) of ``wanted``, and few others: those whose hash has
+    its bit among ``SIEVE``. The bits are broadcast, in ``SIEVE`` / 64 rows at most."""
+    place = F.pmod(F.xxhash64("row", "line"), F.lit(SIEVE))
+    bit = F.expr("shiftleft(1L, cast(place % 64 as int))")
+    bits = wanted.select(place.alias("place")).groupBy(F.expr("place div 64").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    there = lines.withColumn("place", place).withColumn("word", F.expr("place div 64")).join(F.broadcast(bits), "word")
+    return there.filter(F.col("bits").bitwiseAND(bit) != 0).select(*lines.columns)
+
+
 def recurring_lines(lines: DataFrame, depth: int, similarity: float, support: int) -> DataFrame:
     """(form, keeper) of the lines that recur: literally in two documents, or as a template
     in ``support``. ``keeper`` is the first document that has the template, or else the line.
@@ -84,8 +96,8 @@ def recurring_lines(lines: DataFrame, depth: int, similarity: float, support: in
     first, last = F.min(F.struct("doc_id", "row", "line")).alias("first"), F.max(F.struct("doc_id", "row")).alias("last")
     forms = staged(own.groupBy("leaf", "form").agg(first, last, F.count(F.lit(1)).alias("docs")), "forms")
     busy = forms.groupBy("leaf").agg(F.count(F.lit(1)).alias("k"), F.sum("docs").alias("n")).filter((F.col("k") > 1) & (F.col("n") >= support)).select("leaf")
-    wanted = forms.join(busy, "leaf").select("leaf", "form", "docs", F.col("first.row").alias("row"), F.col("first.line").alias("line"))
-    rivals = lines.select("row", "line", "wording").join(wanted, ["row", "line"])
+    wanted = staged(forms.join(busy, "leaf").select("leaf", "form", "docs", F.col("first.row").alias("row"), F.col("first.line").alias("line")), "wanted")
+    rivals = _sifted(lines.select("row", "line", "wording"), wanted).join(wanted, ["row", "line"])
     masked = rivals.select("form", "docs", F.explode(_masks(F.split("wording", " "), F.col("leaf"), depth, similarity)).alias("m"))
     masked = staged(masked.select("form", "docs", "m.*", F.pmod(F.xxhash64("form"), F.lit(SHARES)).cast("int").alias("share")), "masks")
 
@@ -106,7 +118,7 @@ def recurring_lines(lines: DataFrame, depth: int, similarity: float, support: in
     by_template = chosen.join(kept, ["key", "share"]).select("form", F.col("keeper").alias("held"))
     again = forms.filter("docs > 1").select("form", F.col("first.row").alias("again"))
     found = staged(again.join(by_template, "form", "full").select("form", F.coalesce("held", "again").alias("keeper")), "recurring")
-    discard(forms, masked, members, chosen)
+    discard(forms, wanted, masked, members, chosen)
     return found
 
 
