@@ -381,6 +381,40 @@ def test_little_goes_with_a_rare_word(spark, monkeypatch):
     assert "code" in columns and "keys" not in columns and longest <= 8
     assert seen["profiles"][1] >= om.BINS  # a row for each text has the rest
 
+
+def test_a_pair_of_long_texts_meets_once(spark, monkeypatch):
+    """40 texts share 400 words and have 130 others each, in 2 classes: pairs of different classes
+    have some 100 rare words in common, and come from the join about once, none lost."""
+    rng, made = np.random.default_rng(2), []
+    data = [(bytes([i]), " ".join([f"p{x}" for x in range(400)] + [f"c{x}" for x in rng.integers(0, 40, 130)])) for i in range(40)]
+    texts = spark.createDataFrame(data, "row binary, text string")
+    known = spark.createDataFrame([(bytes([i]), bytes([i % 2])) for i in range(40)], "node binary, label binary")
+    hot = spark.createDataFrame([(0, row, 530) for row, _ in data], "key long, row binary, size int")
+    whole = type(texts).distinct
+    monkeypatch.setattr(type(texts), "distinct", lambda df: (made.append((df.columns, df.count())), whole(df))[1])
+    bags = {row: Counter(t.split()) for row, t in data}
+    want = {(x, y) for x, a in bags.items() for y, b in bags.items() if x < y and x[0] % 2 != y[0] % 2 and (a & b).total() >= 424}
+    got = {(bytes(r.a), bytes(r.b)) for r in om._rest(hot, known, texts, 0.8).collect()}
+    assert len(want) > 300 and want <= got
+    assert sum(n for columns, n in made if columns == ["id_a", "id_b"]) <= 1.2 * 400
+
+
+def test_leaders_are_chosen_while_many_nodes_are_left(spark, monkeypatch):
+    """The last step finds the same classes from the nodes that rounds of leaders would take."""
+    rng, rows = np.random.default_rng(13), []
+    for f in range(3):
+        family = [f"f{f}_{i}" for i in range(34)]
+        rows += [(100 * f + i, " ".join([f"h{x}" for x in range(100)] + edited(rng, family, 0.06, f"g{f}_{i}"))) for i in range(12)]
+    docs, got, turns, write = spark.createDataFrame(rows, "doc_id long, text string"), [], [], om.staged
+    monkeypatch.setattr(om, "staged", lambda df, name: (turns.append(name), write(df, name))[1])
+    for left in (0, om.LEFT):
+        monkeypatch.setattr(om, "LEFT", left)
+        got.append({r.doc_id: r.class_id for r in om.near_duplicates(docs, full=2).collect()})
+        turns.append(left)
+    assert got[0] == got[1]
+    assert "leaders" in turns[: turns.index(0)] and "leaders" not in turns[turns.index(0) :]
+
+
 def test_recall_by_similarity(spark):
     """Lone pairs of 200 words, 100 each with an eighth and with 15 % of the words replaced,
     with twice the samples."""
