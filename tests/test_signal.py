@@ -121,3 +121,44 @@ def test_program_query_plays_every_frame(spark):
     program = registry.QUERIES["c27_program"](spark, SF)
     turns = F.when(F.col("reps") == 255, 1).otherwise(F.col("reps"))
     assert total.n == total.span == program.agg(F.sum((F.col("hi") - F.col("lo")) * turns).alias("n")).first().n
+
+
+PROGRAMS = "path long, program array<struct<lo:bigint,hi:bigint,reps:int,reversed:boolean>>"
+
+
+def test_program_blocks_make_a_row_for_a_run(spark):
+    """Frames are played within the tasks: no step of the plan makes a row for each."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        blocks = mk.program_blocks(spark.createDataFrame([(1, [(0, 2**24, 2, True)])], PROGRAMS))
+        found = blocks.collect()
+        made, nodes = [], [blocks._jdf.queryExecution().executedPlan()]
+        while nodes:
+            node = nodes.pop()
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+            rows = node.metrics().get("numOutputRows")
+            made += [rows.get().value()] if rows.isDefined() else []
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert len(found) == 512 and sum(r.n for r in found) == 2**25
+    assert max(made) == 512
+
+
+def test_program_blocks_are_exact(spark):
+    """Sums below 2^53, below 2^63 and close to it, of both directions; a sum beyond a long fails."""
+    rows = [(1, [(lo, lo + 5000, 1, back)]) for lo in (0, 2**30, 2**32 - 5000, 2**39, 737_600_000_000) for back in (False, True)]
+    rows = [(i, program) for i, (_, program) in enumerate(rows)] + [(0, [(7, 4999, 2, True)])]  # a path twice
+    programs = spark.createDataFrame(rows, PROGRAMS)
+    want = mk.program_frames(programs, 4096).withColumn("block", F.expr("pos div 4096")).withColumn("place", F.col("frame") * (F.col("pos") % 4096 + 1))
+    first = F.max(F.when(F.col("pos") % 4096 == 0, F.col("frame")))
+    sums = [F.min("pos"), first, F.count("*"), F.min("frame"), F.max("frame"), F.sum("frame"), F.sum("place")]
+    want = want.groupBy("path", "slot", "rep", "block").agg(*sums).drop("block")
+    assert sorted(map(tuple, mk.program_blocks(programs, 4096).collect())) == sorted(map(tuple, want.collect()))
+    for back in (False, True):
+        top = 2**63 // (5000 * 5001 // 2) - 5000  # the last sums that a long holds, by Python's integers
+        frames = list(range(top, top + 5000))[:: -1 if back else 1]
+        [row] = mk.program_blocks(spark.createDataFrame([(1, [(top, top + 5000, 1, back)])], PROGRAMS)).collect()
+        assert row.frame_sum == sum(frames) and row.place_sum == sum(f * (i + 1) for i, f in enumerate(frames)) > 2**62
+        with pytest.raises(Exception, match="(?i)overflow|too large"):
+            mk.program_blocks(spark.createDataFrame([(1, [(2**40, 2**40 + 5000, 1, back), (2**61, 2**61 + 9, 1, back)])], PROGRAMS)).collect()
